@@ -1,11 +1,13 @@
 """The corpus queries and their SQL, by name."""
 
-from . import mixing
+from . import mixing, secrets
 
 QUERIES = {
+    "op1_secret_ownership": secrets.op1_query,
     "op6_mix_sources": mixing.op6_query,
 }
 
 ORACLE_SQL = {
+    "op1_secret_ownership": secrets.OP1_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
 }
