@@ -1,9 +1,10 @@
 """The corpus queries and their SQL, by name."""
 
-from . import mixing, secrets
+from . import fingerprint, mixing, secrets
 
 QUERIES = {
     "op1_secret_ownership": secrets.op1_query,
+    "op2_bottom_k_fingerprints": fingerprint.op2_query,
     "op6_mix_sources": mixing.op6_query,
 }
 
