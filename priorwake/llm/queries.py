@@ -1,11 +1,12 @@
 """The corpus queries and their SQL, by name."""
 
-from . import embed_dedup, fingerprint, jaccard, mixing, secrets
+from . import embed_dedup, fingerprint, jaccard, mixing, secrets, suffix_tree
 
 QUERIES = {
     "op1_secret_ownership": secrets.op1_query,
     "op2_bottom_k_fingerprints": fingerprint.op2_query,
     "op3_embedding_duplicates": embed_dedup.op3_query,
+    "op4_suffix_tree_scores": suffix_tree.op4_query,
     "op6_mix_sources": mixing.op6_query,
     "op7_jaccard_groups": jaccard.op7_query,
 }
