@@ -1,12 +1,13 @@
 """The corpus queries and their SQL, by name."""
 
-from . import embed_dedup, fingerprint, jaccard, mixing, secrets, suffix_tree
+from . import embed_dedup, fingerprint, jaccard, langid, mixing, secrets, suffix_tree
 
 QUERIES = {
     "op1_secret_ownership": secrets.op1_query,
     "op2_bottom_k_fingerprints": fingerprint.op2_query,
     "op3_embedding_duplicates": embed_dedup.op3_query,
     "op4_suffix_tree_scores": suffix_tree.op4_query,
+    "op10_language_evidence": langid.op10_query,
     "op6_mix_sources": mixing.op6_query,
     "op7_jaccard_groups": jaccard.op7_query,
 }
