@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, by name."""
 
-from . import embed_dedup, fingerprint, jaccard, langid, mixing, secrets, suffix_tree
+from . import embed_dedup, fingerprint, jaccard, langid, mixing, quality_mil, secrets, suffix_tree
 
 QUERIES = {
     "op1_secret_ownership": secrets.op1_query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_embedding_duplicates": embed_dedup.op3_query,
     "op4_suffix_tree_scores": suffix_tree.op4_query,
     "op10_language_evidence": langid.op10_query,
+    "op9_passage_quality": quality_mil.op9_query,
     "op6_mix_sources": mixing.op6_query,
     "op7_jaccard_groups": jaccard.op7_query,
 }
