@@ -29,7 +29,7 @@ DEPTH = 6
 FLOOR, DIVERGENCE, PRIOR = 1e-5, 0.005, 10.0
 START, END = 0xFE, 0xFF
 #: Words whose counts every scoring task holds; all others are joined.
-HEAD = 1 << 18
+HEAD = 1 << 17
 SEGMENT, LANES = 512, 4096
 #: Weight of the word tree; the words that its contexts consist of, singly and in pairs; its floors for contexts and continuations.
 MIX = 0.6
@@ -45,28 +45,79 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+class _Sums:
+    """Counts by int64 key that are given away when they are many."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.parts, self.size, self.most = [], 0, most
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.most:
+            keys, n = self.take()
+            if len(keys) > self.most // 2:
+                yield keys, n
+            else:
+                self.parts, self.size = [(keys, n)], len(keys)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[at], np.add.reduceat(n, at)
+
+
+def _chunks(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """Runs of texts of about `most` characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in column:
+        t = t.as_py()
+        run.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _gather(texts: DataFrame) -> DataFrame:
     """(kind, key, n) partial counts: kind 0 words by hash, kind 1 windows of DEPTH + 1 bytes."""
 
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for j in range(0, len(keys), 200_000):
+            part = keys[j : j + 200_000]
+            yield pa.record_batch({"kind": np.full(len(part), kind, np.int32), "key": part, "n": n[j : j + 200_000].astype(np.int64)})
+
+    def spell(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(word_hash, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray):
-            for j in range(0, len(keys), 200_000):
-                part = keys[j : j + 200_000]
-                yield pa.record_batch({"kind": np.full(len(part), kind, np.int32), "key": part, "n": n[j : j + 200_000].astype(np.int64)})
-
-        for whole in batches:
-            for j in range(0, whole.num_rows, 4096):
-                words, windows = Counter(), []
-                for t in whole.column(0).slice(j, 4096).to_pylist():
+        words, windows = Counter(), _Sums()
+        for b in batches:
+            for texts in _chunks(b.column(0)):
+                codes = []
+                for t in texts:
                     w = lower_words(t)
                     words.update(w)
                     s = np.r_[np.full(DEPTH, START, np.uint8), symbols(w)].astype(np.int64)
-                    code = np.zeros(len(s) - DEPTH, np.int64)
-                    for k in range(DEPTH + 1):
-                        code = code << 8 | s[k : k + len(code)]
-                    windows.append(code)
-                yield from rows(0, np.fromiter(map(word_hash, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
-                yield from rows(1, *np.unique(np.concatenate(windows), return_counts=True))
+                    code = s[: len(s) - DEPTH].copy()
+                    for k in range(1, DEPTH + 1):
+                        code <<= 8
+                        code |= s[k : k + len(code)]
+                    codes.append(code)
+                for full in windows.add(np.concatenate(codes)):
+                    yield from rows(1, *full)
+                if len(words) > 300_000:
+                    yield from rows(0, *spell(words))
+                    words.clear()
+        yield from rows(0, *spell(words))
+        yield from rows(1, *windows.take())
 
     return texts.mapInArrow(work, "kind int, key long, n long")
 
@@ -74,9 +125,9 @@ def _gather(texts: DataFrame) -> DataFrame:
 class Tree:
     """The automaton: class of each byte, next state and log10 probability by state and class."""
 
-    def __init__(self, levels: list[dict[int, dict[int, int]]], floor: float = FLOOR, divergence: float = DIVERGENCE, prior: float = PRIOR):
-        """levels[d]: for contexts of d bytes (as integers, latest byte lowest) the counts of next bytes."""
-        root = levels[0].get(0, {}) if levels else {}
+    def __init__(self, levels: list[list[tuple[int, np.ndarray, np.ndarray]]], floor: float = FLOOR, divergence: float = DIVERGENCE, prior: float = PRIOR):
+        """levels[d]: for contexts of d bytes (as integers, latest byte lowest) the next bytes and their counts."""
+        root = dict(zip(*(x.tolist() for x in levels[0][0][1:]), strict=True)) if levels and levels[0] else {}
         total = max(1, sum(root.values()))
         used = sorted((b for b in root if root[b] >= floor * total or b == END), key=lambda b: b)
         self.classes = len(used) + 2  # the last but one: all other bytes; the last: padding
@@ -86,10 +137,10 @@ class Tree:
         spread = np.zeros(self.classes)
         spread[other] = -np.log10(max(1, 256 - len(used)))
 
-        def counts(c: dict[int, int]) -> np.ndarray:
-            return np.bincount(self.of[list(c)], weights=list(c.values()), minlength=self.classes - 1)[: self.classes - 1] if c else np.zeros(self.classes - 1)
+        def counts(b: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.bincount(self.of[b], weights=n, minlength=self.classes - 1)[: self.classes - 1]
 
-        base = counts(root) + 0.5
+        base = counts(*levels[0][0][1:]) + 0.5 if root else np.ones(self.classes - 1)
         dist: dict[tuple[int, int], np.ndarray] = {(0, 0): base / base.sum()}
 
         def parent(d: int, s: int) -> np.ndarray:
@@ -100,8 +151,8 @@ class Tree:
                     return dist[d, s]
 
         for d in range(1, len(levels)):
-            for s, c in sorted(levels[d].items()):
-                c = counts(c)
+            for s, b, n in levels[d]:
+                c = counts(b, n)
                 if c.sum() < floor * total:
                     continue
                 up = parent(d, s)
@@ -120,7 +171,7 @@ class Tree:
         order = sorted(states)
         at = {x: i for i, x in enumerate(order)}
         self.next = np.zeros((len(order), self.classes), np.int32)
-        self.log = np.zeros((len(order), self.classes))
+        self.log = np.zeros((len(order), self.classes), np.float32)
         for i, (d, s) in enumerate(order):
             p = dist.get((d, s))
             if p is None:
@@ -225,22 +276,28 @@ def _continuations(texts: DataFrame, numbers, end: int) -> DataFrame:
     """(depth, context, word, n): how often head words (word -1: anything) follow contexts of frequent words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = numbers.value
-        for whole in batches:
-            for j in range(0, whole.num_rows, 4096):
-                parts = [[-1, -1, *[of.get(word_hash(w), -1) for w in lower_words(t)], end] for t in whole.column(0).slice(j, 4096).to_pylist()]
+        of, sums = numbers.value, {1: _Sums(), 2: _Sums()}
+
+        def rows(depth: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"depth": np.full(len(code), depth, np.int32), "code": code, "n": n.astype(np.int64)})
+
+        for batch in batches:
+            for texts in _chunks(batch.column(0)):
+                parts = [[-1, -1, *[of.get(word_hash(w), -1) for w in lower_words(t)], end] for t in texts]
                 ids = np.fromiter((x for p in parts for x in p), np.int64)
-                starts = np.cumsum([len(p) for p in parts[:-1]])
+                starts = np.cumsum([0, *[len(p) for p in parts[:-1]]])
                 real = np.ones(len(ids), bool)
-                real[np.r_[0, starts, 1, starts + 1].astype(int)] = False
+                real[np.r_[starts, starts + 1]] = False
                 at = np.flatnonzero(real)
+                last, before, word = ids[at - 1], ids[at - 2], ids[at]
+                word = np.where((word >= 0) & (word < FREQUENT), word, 1 << 12)
                 for depth, most in ((1, FREQUENT), (2, PAIRED)):
-                    last, before, word = ids[at - 1], ids[at - 2], ids[at]
                     ok = (last >= 0) & (last < most) & ((before >= 0) & (before < most) if depth == 2 else True)
                     context = (last + before * FREQUENT if depth == 2 else last)[ok]
-                    word = np.where((word[ok] >= 0) & (word[ok] < FREQUENT), word[ok], 1 << 12)
-                    code, n = np.unique(context << 13 | word, return_counts=True)
-                    yield pa.record_batch({"depth": np.full(len(code), depth, np.int32), "code": code, "n": n.astype(np.int64)})
+                    for full in sums[depth].add(context << 13 | word[ok]):
+                        yield rows(depth, *full)
+        for depth in (1, 2):
+            yield rows(depth, *sums[depth].take())
 
     return texts.mapInArrow(work, "depth int, code long, n long")
 
@@ -254,20 +311,29 @@ def grow_words(texts: DataFrame, numbers: dict, head: np.ndarray, end: int) -> W
     rows = rows.select("depth", context.alias("context"), word.alias("word"), "n")
     whole = rows.groupBy("depth", "context").agg(F.sum("n").alias("n")).select("depth", "context", F.lit(-1).alias("word"), "n")
     some = rows.where((F.col("word") < FREQUENT) & (F.col("n") >= max(2.0, NEXT_FLOOR * total))).unionByName(whole.where(F.col("n") >= CONTEXT_FLOOR * total))
-    got = np.array([(r[0], r[1], r[2], r[3]) for r in some.collect()], np.int64).reshape(-1, 4)
+    t = some.toArrow()
+    got = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "word", "n")], 1)
     return WordTree(head, *[got[got[:, 0] == d, 1:] for d in (1, 2)])
 
 
 def grow(windows: DataFrame, floor: float = FLOOR) -> Tree:
     """The tree of windows (key, n): only contexts of at least the floor's share come to the driver, at most 1 / floor for each length."""
     total = windows.agg(F.sum("n")).first()[0] or 0
-    levels: list[dict] = []
+    levels = []
     for d in range(DEPTH + 1):
         mask = (1 << 8 * (d + 1)) - 1
         rows = windows.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        rows = rows.groupBy(F.shiftrightunsigned("key", 8).alias("s")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")).alias("next"))
+        rows = rows.groupBy(F.shiftrightunsigned("key", 8).alias("s")).agg(
+            F.sum("n").alias("all"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")).alias("next")
+        )
         # A list holds at most 256 bytes' counts.
-        levels.append({r["s"]: {x["b"]: x["n"] for x in r["next"]} for r in rows.where(F.col("all") >= floor * total).collect()})
+        t = rows.where(F.col("all") >= floor * total).select("s", F.col("next.b").alias("b"), F.col("next.n").alias("n")).toArrow().sort_by("s").combine_chunks()
+        if not t.num_rows:
+            levels.append([])
+            continue
+        ends = t.column("b").combine_chunks().offsets.to_numpy()
+        b, n = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("b", "n"))
+        levels.append([(s, b[i:j], n[i:j]) for s, i, j in zip(t.column("s").to_pylist(), ends[:-1], ends[1:], strict=True)])
     return Tree(levels, floor)
 
 
@@ -291,10 +357,10 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     seen = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = (seen["n"] or 0) + n_docs, seen["v"] + bool(n_docs)
     whole = n + 0.5 * (v + 1)
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD).collect()
-    keys, counts = np.array([r[0] for r in head], np.int64), np.array([r[1] for r in head], np.float64)
+    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    keys, counts = head.column("key").to_numpy().astype(np.int64), head.column("n").to_numpy().astype(np.float64)
     # The end token takes the last frequent number, or the one after all words where there are fewer.
-    end_number = min(FREQUENT - 1, len(head))
+    end_number = min(FREQUENT - 1, len(keys))
     numbers = {int(k): i for i, k in enumerate(keys[:end_number])}
     word_tree = grow_words(rows.where("NOT held_out").select("text"), numbers, np.insert(counts, end_number, n_docs), end_number)
     order = np.argsort(keys)
