@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, partitions, require
 
 #: Titles that tell a gender; fixed values.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don")
@@ -26,6 +26,8 @@ PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 #: A text without any of these has no entity.
 HINT = rf"[@0-9]|(?:{TITLES})"
 ATTEMPTS = 16
+#: Most texts whose retries are broadcast; beyond that they are joined.
+SMALL = 20_000
 
 
 def entity_type(m: Column) -> Column:
@@ -132,7 +134,7 @@ def _collisions(found: DataFrame, key: str) -> DataFrame:
 
     Of entities that share a surrogate the smallest keeps it. Retries are checked in the same way, against all.
     """
-    now = found.withColumn("attempt", F.lit(0))
+    now = found.repartition(partitions(found.sparkSession), "kind", "value").withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
         now = materialize(now.withColumn("made", normal(surrogate(F.col("sample"), key, F.col("attempt")))).select("kind", "value", "sample", "attempt", "made"), "entities")
         real = found.select("kind", F.col("value").alias("made"))
@@ -152,8 +154,8 @@ def replace_entities(docs: DataFrame, *, key: str, text_col: str = "text", out:
     all distinct entities, and the few that collide are replaced anew. Mentions of one entity agree in all documents.
     Names are made of their words, so a later mention by surname alone agrees too.
 
-    Only the entities are shuffled, and texts only if some entity collided: then texts are joined with their own
-    retries by a hash of the text, which is the same for repeated rows. A null text stays null and has no entities.
+    Only the entities are shuffled. The retries of the few texts with a collided entity come back by a hash of the text,
+    which is the same for repeated rows: by a broadcast for at most SMALL texts, else by a join. A null text stays null and has no entities.
     Other columns stay. An empty table gives no rows. Only JVM functions run.
     """
     require(docs, text_col)
@@ -170,7 +172,9 @@ def replace_entities(docs: DataFrame, *, key: str, text_col: str = "text", out:
     rows = docs.withColumn("_m", matches)
     if again:
         redone = mentions.join(retries, ["kind", "value"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("m", "attempt"))).alias("_retry"))
-        rows = rows.withColumn("_th", F.xxhash64(text)).join(redone.withColumnRenamed("th", "_th"), "_th", "left").drop("_th")
+        redone = materialize(redone.withColumnRenamed("th", "_th"), "redone")
+        small = redone.count() <= SMALL
+        rows = rows.withColumn("_th", F.xxhash64(text)).join(F.broadcast(redone) if small else redone, "_th", "left").drop("_th")
         attempt = lambda m: F.coalesce(F.try_element_at(F.col("_retry"), m), F.lit(0))
     else:
         attempt = lambda m: F.lit(0)
