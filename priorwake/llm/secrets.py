@@ -115,9 +115,11 @@ def scan_secrets(
         .groupBy("rid")
         .agg(F.sort_array(F.collect_list(F.struct("s", "rank", "e", "kind", "n_docs", "n_repos", "n_owners", "copied", "live"))).alias("spans"))
     )
-    out = found.drop("spans").join(judged, "rid", "left").drop("rid", "owner", "repo")
     empty = F.array().cast("array<struct<s:int,rank:int,e:int,kind:string,n_docs:bigint,n_repos:bigint,n_owners:bigint,copied:boolean,live:boolean>>")
-    return out.select("doc_id", F.coalesce("spans", empty).alias("spans"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    # Only rows that have candidates are joined; all others, and what they keep, stay where they are.
+    some = found.where(F.size("spans") > 0).drop("spans").join(judged, "rid", "left").withColumn("spans", F.coalesce("spans", empty))
+    out = found.where(F.size("spans") == 0).withColumn("spans", empty).unionByName(some)
+    return out.select("doc_id", "spans", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def _of_kind(kind: str):
