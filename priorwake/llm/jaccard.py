@@ -21,12 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions, require, shingle_hashes
+from .common import connected_components, discard, materialize, partitions, require, shingle_hashes
 
 #: The most frequent tokens that go to the end of the common order; any set of tokens gives right results.
-HEAVY = 65_536
+HEAVY = 1 << 18
 #: log2 of the bits in the filter of set ids.
 FILTER_BITS = 26
+#: Sets of each token that all its other sets are compared with before groups are made.
+PIVOTS = 3
+#: How many more it is where a token has at least twice as many sets.
+MORE = 16
+#: Sets of a group that are opened together.
+PART = 256
 
 
 def need(n, percent: int):
@@ -52,7 +58,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"kind": pa.array([0] * len(sets), pa.int32()), "doc_id": b.column(0), "key": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64())})
             if sets:
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= 8
+                often = counts >= 3
                 tokens, counts = tokens[often], counts[often]
                 yield pa.record_batch({"kind": pa.array([1] * len(tokens), pa.int32()), "doc_id": pa.nulls(len(tokens), pa.int64()), "key": tokens, "n": counts.astype(np.int64)})
 
@@ -60,9 +66,9 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
-    """(token, set, n, at, lead, k): the leading tokens of every set and their places in the common order.
+    """(token, set, n, at, salt, k): the leading tokens of every set and their places in the common order.
 
-    In each batch a token's first row leads; the k - 1 others already know that the token is shared.
+    In each batch a token's first row has salt 0; the k - 1 others already know that the token is shared.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,24 +101,29 @@ def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
             k = k[np.cumsum(lead) - 1]
             for j in range(0, len(token), 100_000):
                 to = slice(j, j + 100_000)
-                yield pa.record_batch({"token": token[to], "set": sets[to], "n": n[to], "at": at[to], "lead": pa.array(lead[to]), "k": k[to]})
+                salt = np.where(lead[to], 0, sets[to] % 1021 + 1).astype(np.int32)
+                yield pa.record_batch({"token": token[to], "set": sets[to], "n": n[to], "at": at[to], "salt": salt, "k": k[to]})
 
-    return docs.mapInArrow(work, "token long, set long, n int, at int, lead boolean, k int")
+    return docs.mapInArrow(work, "token long, set long, n int, at int, salt int, k int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Only the rows of tokens that two or more sets lead with.
 
-    Of each batch only leads are dealt by token, so a token brings a task at most a row from each batch.
+    Of each batch only one row of a token is dealt by the token alone, so a token brings a task at most a row a batch.
     """
-    rows = rows.withColumn("salt", F.when(F.col("lead"), F.lit(0)).otherwise(F.pmod(F.col("set"), F.lit(1021)).cast("int") + 1))
-    rows = rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt")
+    rows = rows.repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token")
 
     def shared(t: pa.Table) -> pa.Table:
         token, sets, k = (t.column(c).to_numpy() for c in (0, 1, 4))
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        order = np.lexsort((-k, sets, token))
+        token, sets, k = token[order], sets[order], k[order]
+        new = np.r_[True, token[1:] != token[:-1]]
+        fresh = new | np.r_[True, sets[1:] != sets[:-1]]
+        starts = np.flatnonzero(new)
         several = np.minimum.reduceat(sets, starts) != np.maximum.reduceat(sets, starts)
-        return t.filter(pa.array((k > 1) | np.repeat(several, np.diff(np.r_[starts, len(token)]))))
+        keep = fresh & ((k > 1) | np.repeat(several, np.diff(np.r_[starts, len(token)])))
+        return t.take(pa.array(order[keep]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the last token so far
@@ -179,13 +190,85 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.record_batch({"a": a, "b": b}).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "links")
+    return _discarded(materialize(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "links"), sets)
+
+
+def _opened(docs: DataFrame, hits: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the queries of hits (q, h, hmany) with members (set, g, many) of the groups h, one for each query and part.
+
+    A group's members are dealt to parts of about PART sets with their tokens' union; a query goes to each part, where
+    its overlap with the union is counted first and the members are compared only if that suffices.
+    """
+    spark = docs.sparkSession
+    asked = members.join(hits.select(F.col("h").alias("g")).distinct(), "g", "left_semi")
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("many") / PART)).cast("int")
+    rows = asked.select(F.col("g").alias("h"), part.alias("part"), F.lit(0).alias("kind"), "set")
+    parts = F.sequence(F.lit(0), F.ceil(F.col("hmany") / PART).cast("int") - 1)
+    rows = materialize(rows.unionByName(hits.select("h", F.explode(parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("set"))), "opened")
+    sets = _token_sets(docs, rows.select("set"))
+    rows = rows.join(sets, "set").select("h", "part", "kind", "set", "tokens")
+    rows = rows.repartition(partitions(spark), "h", "part").sortWithinPartitions("h", "part", "kind")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, group = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for h, part, kind, i, t in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (h, part) != key:
+                    key, held, group = (h, part), [], None
+                x = np.frombuffer(t, np.int64)
+                if not kind:
+                    held.append((i, x))
+                    continue
+                if not held:
+                    continue
+                if group is None:
+                    tokens = np.concatenate([m for _, m in held])
+                    order = np.argsort(tokens, kind="stable")
+                    sizes = np.array([len(m) for _, m in held])
+                    group = tokens[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+                tokens, owner, sizes = group
+                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                n = high - low
+                if np.count_nonzero(n) < need(len(x), percent):
+                    continue
+                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(held))
+                near = np.flatnonzero(100 * common >= percent * (len(x) + sizes - common))
+                if len(near):
+                    a.append(i)
+                    b.append(held[near[0]][0])
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _discarded(materialize(rows.mapInArrow(work, "a long, b long"), "links"), sets)
+
+
+def _least(n, m, percent: int):
+    """Least intersection of similar sets of n and m tokens."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
 
 
 def _possible(n, at, m, to, percent: int):
     """Whether sets of n and m tokens can be similar if a shared token at these places is their first shared one."""
-    least = F.ceil((n + m) * percent / F.lit(100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - to) >= least)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - to) >= _least(n, m, percent))
+
+
+def _bounded(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs that can be similar, of their shared leading tokens (a, b, n, at, m, to).
+
+    Of the leading tokens shared by sets of n and m tokens, one is the first, which limits what can follow; and beyond
+    the leading tokens of the set whose last one comes first, that set has only ceil(percent * size / 100) - 1 left.
+    """
+    n, m, at, to = (F.col(c) for c in ("n", "m", "at", "to"))
+    all_rows = shared.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(at, to) + F.least(n - at, m - to) >= _least(n, m, percent)))
+    by = all_rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or(_possible(n, at, m, to, percent)).alias("first"))
+    return by.where(F.col("first") & (F.col("c") + F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1 >= _least(n, m, percent))).select("a", "b")
+
+
+def _discarded(made: DataFrame, *tables: DataFrame) -> DataFrame:
+    for t in tables:
+        discard(t)
+    return made
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -201,34 +284,49 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = materialize(_profile(docs), "profile")
-    often = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).collect()
-    hot = np.array([r["key"] for r in often], np.int64)
-    rank = np.array([r["n"] for r in often], np.int64)
+    often = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    hot, rank = (often.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
     order = np.argsort(hot)
     heavy = spark.sparkContext.broadcast((hot[order], rank[order]))
 
     rows = materialize(_shared(_leading(docs, heavy, percent)), "matrix")
-    least = rows.groupBy("token").agg(F.min("set").alias("b"), F.min_by("n", "set").alias("bn"), F.min_by("at", "set").alias("bat"))
-    near = rows.join(materialize(least, "pivots"), "token").where((F.col("set") != F.col("b")) & _possible(F.col("n"), F.col("at"), F.col("bn"), F.col("bat"), percent))
-    pairs = materialize(near.select(F.col("set").alias("a"), "b").distinct(), "pairs")
+    # Each token's sets are tried against a few of its sets, chosen by hashes so that other tokens choose the same.
+    draws = [F.xxhash64("set", F.lit(r)) for r in range(PIVOTS)]
+    pick = [F.struct(F.min_by("set", d).alias("b"), F.min_by("n", d).alias("m"), F.min_by("at", d).alias("to")) for d in draws]
+    pivots = materialize(rows.groupBy("token").agg(*[p.alias(f"p{r}") for r, p in enumerate(pick)]), "pivots")
+    near = rows.join(pivots, "token").withColumn("p", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])))
+    near = near.select("token", F.col("set").alias("a"), "n", "at", "p.*").where("a <> b")
+    # A token's sets are as many as its rows; where they are many, some more of them, about MORE, are tried.
+    crowd = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= 2 * MORE)
+    crowd = rows.join(materialize(crowd, "crowds"), "token").withColumn("share", F.pmod(F.xxhash64("set", F.lit(-1)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    # Shares are powers of two, so tokens of like crowds choose the same sets.
+    tried = crowd.where(F.col("share") * F.pow(F.lit(2.0), F.floor(F.log2(F.col("k") / F.lit(float(MORE))))) < 1)
+    tried = tried.select("token", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
+    near = near.unionByName(crowd.select("token", F.col("set").alias("a"), "n", "at").join(materialize(tried, "tried"), "token").where("a <> b"))
+    # A token that draws a pair more than once counts once for it.
+    swapped = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("to").alias("at"), F.col("n").alias("m"), F.col("at").alias("to"))
+    near = near.select("token", F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "at", "m", "to")).otherwise(swapped).alias("x"))
+    pairs = materialize(_bounded(near.select("token", "x.*").distinct(), percent), "pairs")
     links = _verified(docs, pairs, percent)
     groups = connected_components(links)
 
-    # The matrix proper: each group's row for each leading token of its members.
-    placed = rows.join(groups.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("g", F.coalesce("component", "set")).drop("component")
+    # The matrix proper: each group's row for each leading token of its members. Smaller groups query larger ones.
+    sized = groups.groupBy("component").agg(F.count("*").alias("many"))
+    placed = rows.join(groups.join(sized, "component").select(F.col("node").alias("set"), "component", "many"), "set", "left")
+    placed = placed.select("token", "set", "n", "at", F.coalesce("component", "set").alias("g"), F.coalesce("many", F.lit(1)).alias("many"))
     placed = materialize(placed, "placed")
-    matrix = placed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
-    matrix = materialize(matrix, "groups").withColumnRenamed("token", "t").withColumnRenamed("g", "h")
+    matrix = placed.groupBy("token", "g").agg(F.first("many").alias("hmany"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
+    open_tokens = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    matrix = materialize(matrix.join(open_tokens, "token"), "groups").withColumnRenamed("token", "t").withColumnRenamed("g", "h")
     n = F.col("n")
     smallest = F.greatest(F.col("low"), F.ceil(n * percent / F.lit(100)))
-    bound = F.least(n - F.col("at"), F.col("left")) >= F.ceil((n + smallest) * percent / F.lit(100 + percent))
-    sized = (F.col("high") * 100 >= n * percent) & (n * 100 >= F.col("low") * percent)
-    hits = placed.join(matrix, (F.col("token") == F.col("t")) & (F.col("h") < F.col("g")) & sized & bound).select("t", "h", F.col("set").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"))
-    hits = materialize(hits, "hits")
-    opened = hits.join(placed, (F.col("t") == F.col("token")) & (F.col("h") == F.col("g")) & _possible(F.col("qn"), F.col("qat"), F.col("n"), F.col("at"), percent))
-    more = materialize(opened.select(F.col("q").alias("a"), F.col("set").alias("b")).distinct(), "opened")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(docs, more, percent))
+    fits = (F.col("high") * 100 >= n * percent) & (n * 100 >= F.col("low") * percent)
+    bound = F.least(n - F.col("at"), F.col("left")) >= _least(n, smallest, percent)
+    larger = F.struct("hmany", "h") > F.struct("many", "g")
+    hits = placed.join(matrix, (F.col("token") == F.col("t")) & larger & fits & bound)
+    hits = materialize(hits.select(F.col("set").alias("q"), "h", "hmany").distinct(), "hits")
+    if hits.limit(1).count():
+        links = links.unionByName(_opened(docs, hits, placed.select("set", "g", "many").distinct(), percent))
         groups = connected_components(links)
 
     owned = profile.where("kind = 0 AND key IS NOT NULL").groupBy(F.col("key").alias("set")).agg(F.min("doc_id").alias("first"))
