@@ -6,9 +6,9 @@ distribution diverges from that of the context one byte shorter; so the tree is
 the corpus. Distributions are smoothed towards the shorter context's. The longest retained suffix of what was read
 is the state; closed under suffixes and prefixes the states form an automaton that scores one table lookup a byte.
 
-The word tree does the same with contexts of one and two words over the HEAD most frequent words. A token's
-probability is MIX times the word tree's plus 1 - MIX times the byte tree's: both sum to one, so the mixture does, and
-words that the word tree lacks are spelled by the byte tree.
+The word tree does the same with contexts of one and two frequent words over all words. A token's probability is MIX
+times the word tree's plus 1 - MIX times the byte tree's: both sum to one, so the mixture does, and words that the
+training rows lack are spelled by the byte tree.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ DEPTH = 6
 #: Least share of all positions that a retained context has, least divergence (nats) from its parent, and prior weight of the parent.
 FLOOR, DIVERGENCE, PRIOR = 1e-5, 0.005, 10.0
 START, END = 0xFE, 0xFF
-#: Words whose counts every scoring task holds; all others are joined.
+#: Words whose counts every scoring task holds; all others are joined, so this changes the speed only.
 HEAD = 1 << 17
 SEGMENT, LANES = 512, 4096
 #: Weight of the word tree; the words that its contexts consist of, singly and in pairs; its floors for contexts and continuations.
@@ -221,16 +221,16 @@ class Tree:
 
 
 class WordTree:
-    """P(word | longest retained context of up to two words) over the head words.
+    """P(word | longest retained context of up to two words) over all words.
 
     A retained context has its own discounted probabilities for its frequent continuations; all others share what is
     left in proportion to the shorter context's probabilities.
     """
 
-    def __init__(self, head: np.ndarray, pairs: np.ndarray, triples: np.ndarray):
-        """head: counts of head words, most frequent first, the end token among them. pairs: rows (context, next,
-        count) of word numbers; triples: the same with the context as earlier * FREQUENT + later."""
-        self.root = head / max(1.0, head.sum())
+    def __init__(self, head: np.ndarray, pairs: np.ndarray, triples: np.ndarray, whole: float):
+        """head: counts of head words, most frequent first, the end token among them; whole: those of all words. pairs:
+        rows (context, next, count) of word numbers; triples: the same with the context as earlier * FREQUENT + later."""
+        self.root = head / max(1.0, whole)
         self.levels = []
         for rows in (pairs, triples):
             contexts, codes, logs, factors = [], [], [], []
@@ -240,7 +240,7 @@ class WordTree:
                 own = rows[a:b]
                 total = own[own[:, 1] < 0, 2].sum()
                 own = own[own[:, 1] >= 0]
-                if total < CONTEXT_FLOOR * head.sum() or not len(own):
+                if total < CONTEXT_FLOOR * whole or not len(own):
                     continue
                 context = int(rows[a, 0])
                 up = self.prob(np.full(len(own), context % FREQUENT if self.levels else -1), np.full(len(own), -1), own[:, 1])
@@ -258,8 +258,11 @@ class WordTree:
             self.levels.append((np.array(contexts, np.int64), np.array(factors), join(codes, np.int64), join(logs, float)))
 
     def prob(self, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probability of head words after contexts of word numbers; -1 stands for words that are no contexts."""
-        p = self.root[word]
+        """Probability of head words after contexts of word numbers; -1 stands for words that are no contexts.
+
+        For a word -1, outside the head, it is the factor of the word's share of all words.
+        """
+        p = np.where(word >= 0, self.root[np.maximum(word, 0)], 1.0)
         for depth, (contexts, factors, codes, probs) in enumerate(self.levels):
             if not len(contexts):
                 continue
@@ -302,9 +305,8 @@ def _continuations(texts: DataFrame, numbers, end: int) -> DataFrame:
     return texts.mapInArrow(work, "depth int, code long, n long")
 
 
-def grow_words(texts: DataFrame, numbers: dict, head: np.ndarray, end: int) -> WordTree:
+def grow_words(texts: DataFrame, numbers: dict, head: np.ndarray, end: int, total: float) -> WordTree:
     """The word tree: contexts and continuations below the floors stay on the cluster, so at most 1 / NEXT_FLOOR rows a depth come to the driver."""
-    total = float(head.sum())
     held = texts.sparkSession.sparkContext.broadcast(numbers)
     rows = materialize(_continuations(texts, held, end).groupBy("depth", "code").agg(F.sum("n").alias("n")), "continuations")
     context, word = F.shiftright("code", 13), F.col("code").bitwiseAND(F.lit((1 << 13) - 1))
@@ -313,7 +315,7 @@ def grow_words(texts: DataFrame, numbers: dict, head: np.ndarray, end: int) -> W
     some = rows.where((F.col("word") < FREQUENT) & (F.col("n") >= max(2.0, NEXT_FLOOR * total))).unionByName(whole.where(F.col("n") >= CONTEXT_FLOOR * total))
     t = some.toArrow()
     got = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "word", "n")], 1)
-    return WordTree(head, *[got[got[:, 0] == d, 1:] for d in (1, 2)])
+    return WordTree(head, *[got[got[:, 0] == d, 1:] for d in (1, 2)], total)
 
 
 def grow(windows: DataFrame, floor: float = FLOOR) -> Tree:
@@ -343,7 +345,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     training: a boolean column; rows where it is not true are held out. base_score is the add-half unigram score of
     the words and an end token; score is the suffix tree's log10 probability. Counts come from all training rows.
     Words are compared by 64-bit hashes; the HEAD most frequent ones are looked up in place, all others by a join, so
-    every count is exact. A null text is empty and has the end token only. Equal rows stay rows of their own; null ids
+    every count is exact and no score depends on HEAD. A null text is empty and has the end token only. Equal rows stay rows of their own; null ids
     are kept. With no training rows all counts are 0 and the distributions uniform. An empty table gives no rows.
     """
     require(docs, id_col, text_col)
@@ -362,7 +364,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     # The end token takes the last frequent number, or the one after all words where there are fewer.
     end_number = min(FREQUENT - 1, len(keys))
     numbers = {int(k): i for i, k in enumerate(keys[:end_number])}
-    word_tree = grow_words(rows.where("NOT held_out").select("text"), numbers, np.insert(counts, end_number, n_docs), end_number)
+    word_tree = grow_words(rows.where("NOT held_out").select("text"), numbers, np.insert(counts, end_number, n_docs), end_number, float(n))
     order = np.argsort(keys)
     held = spark.sparkContext.broadcast((tree, word_tree, keys[order], counts[order], order))
 
@@ -407,12 +409,12 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                 two[begin] = -1
                 two[np.minimum(begin + 1, len(h) - 1)[tokens > 1]] = -1
                 two = np.where((one < PAIRED) & (two < PAIRED), two, -1)
-                known = np.flatnonzero(number >= 0)
-                total = (1 - MIX) * 10.0**spelled
-                total[known] += MIX * word_tree.prob(one[known], two[known], number[known])
-                # What underflows is spelled by a byte tree alone.
-                score = np.add.reduceat(np.where(total > 0, np.log10(np.maximum(total, 1e-300)), spelled + np.log10(1 - MIX)), begin)
+                by_word = word_tree.prob(one, two, number)
                 rest = ~hit & ~last
+                total = (1 - MIX) * 10.0**spelled + np.where(rest, 0.0, MIX * by_word)
+                # What underflows is spelled by a byte tree alone; words outside the head are scored by the join.
+                logs_of = np.where(total > 0, np.log10(np.maximum(total, 1e-300)), spelled + np.log10(1 - MIX))
+                score = np.add.reduceat(np.where(rest, 0.0, logs_of), begin)
                 cuts = np.r_[0, np.cumsum(np.add.reduceat(rest.astype(np.int64), begin))].astype(np.int32)
                 yield pa.record_batch(
                     {
@@ -422,16 +424,19 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                         "known": in_head,
                         "base": base,
                         "score": score,
-                        "rest": pa.ListArray.from_arrays(cuts, h[rest]),
+                        "rest": pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(x[rest]) for x in (h, spelled, by_word)], ["key", "spelled", "factor"])),
                     }
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
+    made = rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<key:long,spelled:double,factor:double>>")
     # The row number is stored, so it names the same row however often a task runs.
     made = materialize(made.withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = made.select("rid", F.explode("rest").alias("key")).join(words.withColumnRenamed("n", "c"), "key", "left")
-    tail = tail.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(whole))).alias("part"))
+    tail = made.select("rid", F.inline("rest")).join(words.withColumnRenamed("n", "c"), "key", "left")
+    c = F.coalesce(F.col("c"), F.lit(0))
+    mixed = (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled")) + MIX * F.col("factor") * c / F.lit(float(max(1, n)))
+    mixed = F.when(mixed > 0, F.log10(F.greatest(mixed, F.lit(1e-300)))).otherwise(F.col("spelled") + float(np.log10(1 - MIX)))
+    tail = tail.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((c + 0.5) / F.lit(whole))).alias("part"), F.sum(mixed).alias("mixed"))
     out = made.drop("rest").join(tail, "rid", "left")
     return out.select(
         "doc_id",
@@ -440,7 +445,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )
 
 

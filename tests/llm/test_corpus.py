@@ -175,6 +175,15 @@ def test_suffix_tree(spark, docs):
     assert all(r["n_known"] == 0 for r in suffix_tree.score_texts(docs, F.lit(False)).collect())
 
 
+def test_suffix_tree_scores_do_not_depend_on_the_head(spark, monkeypatch):
+    df = documents(spark, [(i, " ".join(f"w{i * 60 + k}" for k in range(90))) for i in range(60)])
+    assert df.select(F.explode(F.split("text", " "))).distinct().count() > suffix_tree.FREQUENT + 100
+    score = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in suffix_tree.score_texts(df, F.col("doc_id") % 5 != 1).collect())
+    whole = score()
+    monkeypatch.setattr(suffix_tree, "HEAD", suffix_tree.FREQUENT + 10)
+    assert score() == whole
+
+
 def test_suffix_tree_is_a_distribution():
     text = np.frombuffer(b"abab ab\xff", np.uint8)
     root = (0, np.unique(text), np.unique(text, return_counts=True)[1])
