@@ -65,7 +65,14 @@ def _trigrams(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 @dataclass(frozen=True)
 class TextModel:
     languages: tuple[str, ...]
-    logs: np.ndarray  # [language, bucket]
+    seen: tuple[tuple[np.ndarray, np.ndarray], ...]  # by language: its buckets and their logs
+    unseen: tuple[float, ...]  # by language: the log of every other bucket
+
+    def row(self, language: int) -> np.ndarray:
+        logs = np.full(BUCKETS, self.unseen[language])
+        buckets, own = self.seen[language]
+        logs[buckets] = own
+        return logs
 
     def likelihoods(self, texts: pa.Array) -> np.ndarray:
         """[text, language + 2]: tempered log likelihoods, share of letters among what is no white space, trigrams."""
@@ -73,18 +80,20 @@ class TextModel:
         for b, offsets in _slices(texts):
             code, inside = _trigrams(b, offsets)
             sums = lambda v: (lambda c: c[offsets[1:]] - c[offsets[:-1]])(np.r_[0.0, np.cumsum(v, dtype=np.float64)])
-            cols = [sums(np.where(inside, row[code], 0.0)) * TEMPER for row in self.logs]
+            cols = [sums(np.where(inside, self.row(k)[code], 0.0)) * TEMPER for k in range(len(self.languages))]
             solid = sums(~_SPACE[b])
             cols += [sums(_LETTER[b]) / np.maximum(solid, 1), sums(inside)]
             parts.append(np.stack(cols, 1))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages) + 2))
 
 
-def fit_text_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = 64) -> TextModel:
-    """Add-half trigram frequencies of every language, of all texts with a label; of the `most` languages with most trigrams.
+def fit_text_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> TextModel:
+    """Add-half trigram frequencies of every language, of all texts with a label.
 
-    What comes to the driver are counts: at most `most` * BUCKETS rows. Without labelled texts the model has no
-    languages and everything is rejected.
+    Labels are compared by the code that they start with, so regional tags count for their language; a label that
+    starts with none is lowered and stays a language of its own, a blank one is no label. What comes to the driver are
+    the counts of the buckets that a language has, at most BUCKETS each. Without labelled texts the model has no languages
+    and everything is rejected.
     """
     require(labelled, text_col, lang_col)
 
@@ -100,17 +109,29 @@ def fit_text_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str
                     counts = np.bincount(code[inside & (owner == lang)], minlength=BUCKETS)
                     total[lang] = total.get(lang, 0) + counts
                 at += n
+                if len(total) > 256:
+                    yield from given(total)
+                    total.clear()
+        yield from given(total)
+
+    def given(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([lang] * len(some), pa.string()), "bucket": some.astype(np.int32), "n": counts[some].astype(np.int64)})
 
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    label = F.col(lang_col).cast("string")
+    blank = F.trim(label) == ""
+    rows = labelled.select(F.when(~blank, F.coalesce(code_of(label), F.lower(F.trim(label)))).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
     counts = materialize(rows.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    table = np.full((len(top), BUCKETS), 0.5)
-    for r in counts.where(F.col("lang").isin(top)).collect() if top else ():
-        table[top.index(r["lang"]), r["bucket"]] += r["n"]
-    return TextModel(tuple(top), np.log(table / table.sum(1, keepdims=True)))
+    lists = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("own"))
+    t = lists.select("lang", "all", F.col("own.bucket").alias("bucket"), F.col("own.n").alias("n")).toArrow().sort_by([("all", "descending"), ("lang", "ascending")])
+    seen, unseen = [], []
+    for k in range(t.num_rows):
+        whole = t.column("all")[k].as_py() + 0.5 * BUCKETS
+        buckets, n = (t.column(c)[k].values.to_numpy() for c in ("bucket", "n"))
+        seen.append((buckets, np.log((n + 0.5) / whole)))
+        unseen.append(float(np.log(0.5 / whole)))
+    return TextModel(tuple(t.column("lang").to_pylist()), tuple(seen), tuple(unseen))
 
 
 def code_of(value: Column) -> Column:

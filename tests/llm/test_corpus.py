@@ -242,6 +242,18 @@ def test_languages(spark):
     assert np.allclose(likely[2], model.likelihoods(pa.array(["zruz zizu"]))[0]) and likely[1, -1] == 0
 
 
+def test_languages_are_all_fitted(spark):
+    rng = random.Random(8)
+    codes = [a + b for a in "abcdefghi" for b in "klmnopqr"]
+    say = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for c in codes}
+    rows = [(i * 10 + k, " ".join(rng.choice(say[c]) for _ in range(30 - (i > 63) * 8)), c + ("-XX" if k else ""), None) for i, c in enumerate(codes) for k in range(2)]
+    df = documents(spark, rows)
+    model = langid.fit_text_model(df.unionByName(documents(spark, [(9000, "no label", " ", None)])))
+    assert sorted(model.languages) == sorted(codes)
+    made = {r["doc_id"]: r for r in langid.identify_documents(df, model).collect()}
+    assert all(made[d]["_lang"] == c[:2] and not made[d]["_rejected"] for d, _, c, _ in rows)
+
+
 def test_pieces(spark, docs):
     v = pieces.Vocabulary.load()
     work = pieces.Segmenter(v, 4)
