@@ -62,7 +62,7 @@ def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target has it repeated; those taken no time go."""
-    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    mixed = mixing.mix(docs, nearest=True, keep=("text", "lang", "n_chars"))
     return mixed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
 
 

@@ -61,12 +61,15 @@ def mix(
     share: float = 1.0,
     cycle: int = 3,
     seed: int = 20240611,
+    nearest: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, repeats, taken, plus the columns of keep.
 
     repeats = floor(target / source_size) for every document of a source; one more for those first in a seeded order
-    whose sizes fill the fractional rest, so a source misses its target by less than one document. The order is a
+    whose sizes fill the fractional rest, so a source misses its target by less than one document, from below. With
+    nearest the document that crosses the rest is taken too where that comes nearer and max_epochs allows it: a source
+    then misses its target by at most half that document. The rule of OP6_SQL is the one without. The order is a
     hash of the seed and the id cut into BINS bins: bin totals are partial sums, and only the one bin in which the rest
     runs out is ordered row by row, so no task ever sees a whole source.
 
@@ -105,7 +108,11 @@ def mix(
     within = Window.partitionBy("source", "bin").orderBy("u", F.col("doc_id").asc_nulls_last(), "size", "content")
     plain = rows.where(~cut).withColumn("extra", F.when(inside & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0)))
     split = rows.where(cut).withColumn("run", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    split = split.withColumn("extra", F.when((F.col("run") <= F.col("rest")) & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))).drop("run")
+    taken = F.col("run") <= F.col("rest")
+    if nearest:
+        over, under = F.col("run") - F.col("rest"), F.col("rest") - (F.col("run") - F.col("size"))
+        taken |= (over < under) & (F.col("whole") * F.col("source_size") + F.col("run") <= F.col("source_size") * F.lit(float(max_epochs)))
+    split = split.withColumn("extra", F.when(taken & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))).drop("run")
     out = plain.unionByName(split)
     repeats = (F.col("whole") + F.col("extra")).cast("int")
     return out.select(

@@ -157,6 +157,31 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_the_crossing_document_where_nearer(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([5, 5, 900])), "en", s) for i, s in enumerate("abcd" * 12)]
+    df = documents(spark, rows)
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    draw = lambda d: int(hashlib.sha256(f"20240611:{d}".encode()).hexdigest()[:15], 16)
+    want, crossed = {}, 0
+    for s in "abcd":
+        mine = sorted((d for d, _, _, x in rows if x == s), key=draw)
+        size, target = plan[mine[0]]["source_size"], plan[mine[0]]["target"]
+        whole, run = int(target // size), 0
+        rest = target - whole * size
+        for d in mine:
+            before, run = run, run + plan[d]["size"]
+            crossing = before <= rest < run and run - rest < rest - before
+            crossed += crossing
+            want[d] = whole + (run <= rest or crossing)
+    got = {r["doc_id"]: r["repeats"] for r in mixing.mix(df, nearest=True).collect()}
+    assert got == want and crossed and max(got.values()) <= 3
+    copies = [r["doc_id"] for r in corpus_pipeline.mixture(spark, df, str(tmp_path)).collect()]
+    assert {d: copies.count(d) for d in want} == want
+
+
 def test_suffix_tree(spark, docs):
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
