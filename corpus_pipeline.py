@@ -23,19 +23,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones: the one whose id names it, and of rows with this id the first text.
+    """One row of each component of similar ones: of the rows with the id that names it, the one with the first text.
 
-    Documents without shingles (or with a null id) are in no component and all stay.
+    Rows without shingles are in no component and all stay. Rows whose id is null or repeated are told apart by their
+    sets of shingles, so each is decided by the component that its own text is in.
     """
-    found = jaccard.similar_components(docs)
+    found = materialize(jaccard.similar_components(docs), "found")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     # Dropped are documents of another's component: their ids are joined, never their texts with each other.
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in COLUMNS if c not in ("doc_id", "text")])).alias("x")).select("doc_id", "x.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    kept = docs.where("doc_id IS NOT NULL").join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    unclear = docs.join(repeated, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    if not unclear.limit(1).count():
+        return kept
+    unclear = jaccard.with_set_id(unclear)
+    named = found.where(F.col("set_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.select(F.col("doc_id").alias("id"), F.col("set_id").alias("set"), "component").distinct()
+    heads = unclear.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("set_id") == F.col("set")))
+    heads = heads.groupBy("component").agg(F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("x")).select("x.*")
+    return kept.unionByName(unclear.where("set_id IS NULL").select(*COLUMNS)).unionByName(heads.select(*COLUMNS))
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,12 +272,13 @@ def _discarded(made: DataFrame, *tables: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id, component_id.
+    """One row per document: doc_id, n_shingles, set_id, component_id, component.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of five-word shingles;
     component_id is the smallest doc_id that links reach. A null, empty or wordless text has no shingles, is linked
     with nothing and has its own doc_id as component_id. Repeated rows and equal texts share a component. Null ids
-    link like others; a component of null ids only has a null component_id. Shingles and sets are compared by 64-bit
+    link like others; a component of null ids only has a null component_id. component is a number of the component,
+    null without shingles: where ids are repeated, several components may have one component_id. Shingles and sets are compared by 64-bit
     hashes. Every link that can change a component is tested with whole sets; no bucket is capped.
     """
     require(docs, id_col, text_col)
@@ -332,9 +333,19 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     owned = profile.where("kind = 0 AND key IS NOT NULL").groupBy(F.col("key").alias("set")).agg(F.min("doc_id").alias("first"))
     owned = owned.join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("g"), "first")
     owned = materialize(owned, "owned")
-    named = owned.join(owned.groupBy("g").agg(F.min("first").alias("component_id")), "g").select(F.col("set").alias("key"), "component_id")
+    named = owned.join(owned.groupBy("g").agg(F.min("first").alias("component_id")), "g").select(F.col("set").alias("key"), "component_id", F.col("g").alias("component"))
     out = profile.where("kind = 0").join(materialize(named, "named"), "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+
+
+def with_set_id(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with set_id as similar_components() gives it: null for a text without shingles."""
+
+    @F.arrow_udf("long")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([set_id(x) if len(x) else None for x in map(shingle_hashes, texts.to_pylist())], pa.int64())
+
+    return docs.withColumn("set_id", read(F.col(text_col)))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

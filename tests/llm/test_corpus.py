@@ -335,3 +335,14 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r["doc_id"] for r in left} & {500} == set()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.select(*corpus_pipeline.COLUMNS).limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (7, a), (7, b), (7, c), (7, b + " "), (7, ""), (7, None), (9, c), (None, b), (None, d), (None, d), (None, e), (None, ""), (3, d.upper())]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows).select(*corpus_pipeline.COLUMNS), str(tmp_path)).collect()]
+    want = [(1, a), (7, b), (7, c), (7, ""), (7, None), (None, e), (None, ""), (3, d.upper())]
+    assert sorted(map(str, got)) == sorted(map(str, want))
