@@ -1,14 +1,16 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-Documents are sets of word shingles. Equal sets are one set. A set that reaches similarity t with another shares a
-token with it among its first n - ceil(t*n) + 1 tokens in any common order; these leading tokens make the matrix.
-Similar sets are put in groups; the matrix has, for each leading token, the groups whose token union holds it, with the
-members' sizes and the most that can still be shared from there on. A set is a query against the groups of its own
-leading tokens: the row bounds its overlap with the group's union, and only where the bound allows a link is the group
-opened and its members compared with whole sets.
-
-Only links between groups can change a component, so groups start as the components of verified links between a token's
-sets and its smallest set, and the second pass opens groups other than the query's own.
+Documents are sets of word shingles; equal sets are one set. Sets of like size that share several least hashes with one
+set are put in its group. A set that reaches similarity t with another shares a token with it among its first
+n - ceil(t*n) + 1 tokens in any common order. The matrix holds the union of these leading tokens for each group, a set
+outside all groups being a group of its own: a row for each token and group.
+
+Two groups' overlap is summed on the matrix alone. Beyond the leading tokens of the set whose last one comes first, that
+set has only ceil(t*n) - 1 tokens left, so the sum bounds what any two members can share. Only where the bound allows a
+link are the groups opened and their members compared with whole sets; every group is also opened for its own members.
+
+A token that many groups have makes no pairs of all of them: there a pair has to be possible with this token as its
+first shared one, and what such tokens add to a sum is bounded by how many of them a group has.
 """
 
 from __future__ import annotations
@@ -21,18 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, partitions, require, shingle_hashes
+from .common import connected_components, discard, materialize, partitions, require, shingle_hashes, trimmed
 
 #: The most frequent tokens that go to the end of the common order; any set of tokens gives right results.
 HEAVY = 1 << 18
+#: Tokens that a task counts at once for that.
+COUNTED = 1 << 22
 #: log2 of the bits in the filter of set ids.
 FILTER_BITS = 26
-#: Sets of each token that all its other sets are compared with before groups are made.
-PIVOTS = 3
-#: How many more it is where a token has at least twice as many sets.
-MORE = 16
-#: Sets of a group that are opened together.
-PART = 256
+#: Groups of a token from which on it makes no pairs of all of them.
+CROWD = 32
+#: Sets and tokens of a part of a group, which is opened at once.
+PART, PART_TOKENS = 1024, 1 << 19
+#: Odd factors that reorder the tokens for least hashes, and how many of these a set shares with the first of its group.
+FACTORS, AGREE = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85), 2
+#: Ratio of neighbouring classes of sizes.
+RATIO = 1.1
 
 
 def need(n, percent: int):
@@ -49,20 +55,37 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """(kind, doc_id, key, n): kind 0 are documents with their set's id and size, kind 1 tokens and their counts in a batch."""
+    """(kind, doc_id, key, n, least): kind 0 are documents with their set's id, size and least hashes, kind 1 tokens and their counts in a task."""
+
+    def counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        for j in range(0, len(tokens), 100_000):
+            t = tokens[j : j + 100_000]
+            nothing = pa.nulls(len(t), pa.list_(pa.int64()))
+            yield pa.record_batch({"kind": np.ones(len(t), np.int32), "doc_id": pa.nulls(len(t), pa.int64()), "key": t, "n": counts[j : j + 100_000].astype(np.int64), "least": nothing})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
             sets = list(_sets(b))
             ids = [set_id(x) if len(x) else None for x in sets]
-            yield pa.record_batch({"kind": pa.array([0] * len(sets), pa.int32()), "doc_id": b.column(0), "key": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64())})
-            if sets:
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= 3
-                tokens, counts = tokens[often], counts[often]
-                yield pa.record_batch({"kind": pa.array([1] * len(tokens), pa.int32()), "doc_id": pa.nulls(len(tokens), pa.int64()), "key": tokens, "n": counts.astype(np.int64)})
+            least = [_least_hashes(x) if len(x) else None for x in sets]
+            yield pa.record_batch({"kind": np.zeros(len(sets), np.int32), "doc_id": b.column(0), "key": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "least": pa.array(least, pa.list_(pa.int64()))})
+            parts += sets
+            size += sum(map(len, sets))
+            if size > COUNTED:
+                yield from counted(parts)
+                parts, size = [], 0
+        yield from counted(parts)
+
+    return docs.mapInArrow(trimmed(work), "kind int, doc_id long, key long, n long, least array<long>")
 
-    return docs.mapInArrow(work, "kind int, doc_id long, key long, n long")
+
+def _least_hashes(x: np.ndarray) -> list[int]:
+    """Least hashes of a set under several orders."""
+    with np.errstate(over="ignore"):
+        return [int(x[0]), int(x[-1]), *(int((x * np.int64(f)).min()) for f in FACTORS)]
 
 
 def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
@@ -73,6 +96,8 @@ def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = heavy.value
+        often = np.zeros(1 << 22, bool)  # a first look at the tokens' leading bits
+        often[hot >> 42] = True
         for b in batches:
             seen, parts = set(), []
             for x in _sets(b):
@@ -82,10 +107,11 @@ def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
                 seen.add(i)
                 length = n - need(n, percent) + 1
                 if len(hot):
-                    at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-                    is_hot = hot[at] == x
-                    late = x[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]
-                    x = np.concatenate((x[~is_hot], late))
+                    some = np.flatnonzero(often[x >> 42])
+                    at = np.minimum(np.searchsorted(hot, x[some]), len(hot) - 1)
+                    is_hot = hot[at] == x[some]
+                    late = some[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]
+                    x = np.concatenate((np.delete(x, late), x[late]))
                 parts.append((x[:length], i, n))
             if not parts:
                 continue
@@ -104,11 +130,11 @@ def _leading(docs: DataFrame, heavy, percent: int) -> DataFrame:
                 salt = np.where(lead[to], 0, sets[to] % 1021 + 1).astype(np.int32)
                 yield pa.record_batch({"token": token[to], "set": sets[to], "n": n[to], "at": at[to], "salt": salt, "k": k[to]})
 
-    return docs.mapInArrow(work, "token long, set long, n int, at int, salt int, k int")
+    return docs.mapInArrow(trimmed(work), "token long, set long, n int, at int, salt int, k int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Only the rows of tokens that two or more sets lead with.
+def _shared(rows: DataFrame, grouped) -> DataFrame:
+    """(token, set, n, at, grouped): only the rows of tokens that two or more sets lead with, and whether the set may be in a group.
 
     Of each batch only one row of a token is dealt by the token alone, so a token brings a task at most a row a batch.
     """
@@ -139,8 +165,16 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from shared(held).combine_chunks().to_batches()
 
-    rows = rows.select("token", "set", "n", "at", "k").mapInArrow(work, "token long, set long, n int, at int, k int")
-    return rows.select("token", "set", "n", "at")
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in work(batches):
+            yield pa.record_batch({**{c: t.column(c) for c in ("token", "set", "n", "at")}, "grouped": _has(grouped.value, t.column("set").to_numpy())})
+
+    return rows.select("token", "set", "n", "at", "k").mapInArrow(trimmed(marked), "token long, set long, n int, at int, grouped boolean")
+
+
+def _has(bits: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    at = sets.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _bits(keys: DataFrame, column: str):
@@ -158,117 +192,153 @@ def _token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = _bits(wanted, "set")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            ids, tokens, seen = [], [], set()
+            ids, tokens, size = [], [], 0
             for x in _sets(b):
-                if len(x) and (i := set_id(x)) not in seen:
-                    at = (i & (2**64 - 1)) >> (64 - FILTER_BITS)
-                    if bits.value[at >> 3] >> (at & 7) & 1:
-                        seen.add(i)
-                        ids.append(i)
-                        tokens.append(x.tobytes())
-            for j in range(0, len(ids), 256):
-                yield pa.record_batch({"set": pa.array(ids[j : j + 256], pa.int64()), "tokens": pa.array(tokens[j : j + 256], pa.binary())})
-
-    made = docs.mapInArrow(work, "set long, tokens binary")
-    return materialize(made.dropDuplicates(["set"]), "sets")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs whose whole sets are similar enough."""
-    sets = _token_sets(docs, pairs.select(F.col("a").alias("set")).union(pairs.select("b")))
-    both = pairs.join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, ok = batch.column(0), batch.column(1), []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(ta.as_buffer(), np.int64), np.frombuffer(tb.as_buffer(), np.int64)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                common = int(np.count_nonzero(long[at] == short))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch({"a": a, "b": b}).filter(pa.array(ok, pa.bool_()))
-
-    return _discarded(materialize(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "links"), sets)
-
-
-def _opened(docs: DataFrame, hits: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of the queries of hits (q, h, hmany) with members (set, g, many) of the groups h, one for each query and part.
-
-    A group's members are dealt to parts of about PART sets with their tokens' union; a query goes to each part, where
-    its overlap with the union is counted first and the members are compared only if that suffices.
+                if len(x) and (i := set_id(x)) not in seen and _has(bits.value, np.array([i]))[0]:
+                    seen.add(i)
+                    ids.append(i)
+                    tokens.append(x.tobytes())
+                    size += x.nbytes
+                    if size > 1 << 20:
+                        yield pa.record_batch({"set": pa.array(ids, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+                        ids, tokens, size = [], [], 0
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.record_batch({"set": pa.array(ids, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+
+    return docs.mapInArrow(trimmed(work), "set long, tokens binary").dropDuplicates(["set"])
+
+
+def _opened(docs: DataFrame, queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect every query (q, h, parts) with the members (h, part, set) of the group h it is similar to.
+
+    A part is the members' tokens in one sorted array; a query counts its hits there by member. Of the links among a query
+    and a part's members only those are given that connect what others of this part do not yet connect.
     """
-    spark = docs.sparkSession
-    asked = members.join(hits.select(F.col("h").alias("g")).distinct(), "g", "left_semi")
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("many") / PART)).cast("int")
-    rows = asked.select(F.col("g").alias("h"), part.alias("part"), F.lit(0).alias("kind"), "set")
-    parts = F.sequence(F.lit(0), F.ceil(F.col("hmany") / PART).cast("int") - 1)
-    rows = materialize(rows.unionByName(hits.select("h", F.explode(parts).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("set"))), "opened")
-    sets = _token_sets(docs, rows.select("set"))
-    rows = rows.join(sets, "set").select("h", "part", "kind", "set", "tokens")
-    rows = rows.repartition(partitions(spark), "h", "part").sortWithinPartitions("h", "part", "kind")
+    rows = members.select("h", "part", F.lit(0).alias("kind"), "set")
+    rows = rows.unionByName(queries.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), F.col("q").alias("set")))
+    rows = materialize(rows, "opened")
+    # A set goes once to where its rows are, and from there to the parts that ask for it.
+    dealt = rows.join(_token_sets(docs, rows.select("set")), "set").select("h", "part", "kind", "set", "tokens")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "h", "part").sortWithinPartitions("h", "part", "kind")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, group = None, [], None
         for batch in batches:
             a, b = [], []
-            for h, part, kind, i, t in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            tokens_of = batch.column(4)
+            for k, now in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                h, part, kind, i = now
                 if (h, part) != key:
                     key, held, group = (h, part), [], None
-                x = np.frombuffer(t, np.int64)
+                x = np.frombuffer(tokens_of[k].as_buffer(), np.int64)
                 if not kind:
-                    held.append((i, x))
+                    held.append((i, x.copy()))
                     continue
                 if not held:
                     continue
                 if group is None:
+                    sizes = np.array([len(m) for _, m in held])
                     tokens = np.concatenate([m for _, m in held])
+                    held = [i for i, _ in held]
                     order = np.argsort(tokens, kind="stable")
-                    sizes = np.array([len(m) for _, m in held])
-                    group = tokens[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+                    group = tokens[order], np.repeat(np.arange(len(held), dtype=np.int32), sizes)[order], sizes
+                    root = np.arange(len(held))
                 tokens, owner, sizes = group
                 low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
                 n = high - low
                 if np.count_nonzero(n) < need(len(x), percent):
                     continue
+                # A member has a token once, so there are no more hits than tokens in the part.
                 at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(held))
                 near = np.flatnonzero(100 * common >= percent * (len(x) + sizes - common))
-                if len(near):
-                    a.append(i)
-                    b.append(held[near[0]][0])
+                if not len(near):
+                    continue
+                apart, first = np.unique(root[near], return_index=True)
+                if len(apart) > 1:
+                    root[np.isin(root, apart)] = apart[0]
+                for j in first:
+                    if held[near[j]] != i:
+                        a.append(i)
+                        b.append(held[near[j]])
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _discarded(materialize(rows.mapInArrow(work, "a long, b long"), "links"), sets)
-
+    links = materialize(dealt.mapInArrow(trimmed(work), "a long, b long"), "links")
+    discard(rows)
+    return links
 
-def _least(n, m, percent: int):
-    """Least intersection of similar sets of n and m tokens."""
-    return F.ceil((n + m) * percent / F.lit(100 + percent))
 
+def _groups(profile: DataFrame, percent: int) -> DataFrame:
+    """(set, g): sets that share AGREE least hashes or more with the first set of their size class that has these, named after it.
 
-def _possible(n, at, m, to, percent: int):
-    """Whether sets of n and m tokens can be similar if a shared token at these places is their first shared one."""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - to) >= _least(n, m, percent))
+    Groups only decide what is compared early and what through the matrix. A set outside all groups has no row.
+    """
+    sets = profile.where("kind = 0 AND key IS NOT NULL").groupBy(F.col("key").alias("set")).agg(F.first("n").alias("n"), F.first("least").alias("least"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    keyed = materialize(sets.select("set", size.alias("size"), F.posexplode("least").alias("r", "least")), "keys")
+    first = keyed.groupBy("r", "least", "size").agg(F.min(F.struct(F.xxhash64("set"), "set")).alias("x"), F.min("set").alias("low"), F.max("set").alias("high"))
+    first = materialize(first.where("low < high").select("r", "least", "size", F.col("x.set").alias("g")), "firsts")
+    shared = keyed.join(first, ["r", "least", "size"]).groupBy("set", "g").agg(F.count("*").alias("c")).where(F.col("c") >= AGREE)
+    chosen = materialize(shared.groupBy("set").agg(F.max(F.struct("c", F.xxhash64("g"), "g")).alias("x")).select("set", F.col("x.g").alias("g")), "chosen")
+    # A set that names a group and is in none itself is in its own.
+    names = chosen.select(F.col("g").alias("set")).distinct().join(chosen, "set", "left_anti").select("set", F.col("set").alias("g"))
+    made = materialize(chosen.unionByName(names), "grouped")
+    for t in (keyed, first, chosen):
+        discard(t)
+    return made
 
 
-def _bounded(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs that can be similar, of their shared leading tokens (a, b, n, at, m, to).
+def _needed(s_low, s_high, l_high, percent: int):
+    """What a summed overlap must exceed, times 100 * (100 + percent), for a smaller set of the first range and a larger one of up to l_high tokens.
 
-    Of the leading tokens shared by sets of n and m tokens, one is the first, which limits what can follow; and beyond
-    the leading tokens of the set whose last one comes first, that set has only ceil(percent * size / 100) - 1 left.
+    A link needs percent * (s + l) / (100 + percent) common tokens, of which fewer than percent * l / 100 are no
+    leading ones. That falls with l, which is at most s_high * 100 / percent, and rises with s, which is at least
+    percent * l / 100. Null where no smaller set of the range is small enough.
     """
-    n, m, at, to = (F.col(c) for c in ("n", "m", "at", "to"))
-    all_rows = shared.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(at, to) + F.least(n - at, m - to) >= _least(n, m, percent)))
-    by = all_rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.bool_or(_possible(n, at, m, to, percent)).alias("first"))
-    return by.where(F.col("first") & (F.col("c") + F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1 >= _least(n, m, percent))).select("a", "b")
+    high = F.least(l_high.cast("double"), s_high * (100.0 / percent))
+    low = F.greatest(s_low.cast("double"), high * (percent / 100.0))
+    return F.when(s_low <= high, 100.0 * percent * (F.least(low, high) + high) - percent * (100.0 + percent) * high - 1.0)
 
 
-def _discarded(made: DataFrame, *tables: DataFrame) -> DataFrame:
-    for t in tables:
-        discard(t)
-    return made
+def _qualifying(matrix: DataFrame, percent: int) -> DataFrame:
+    """(g, h), g < h: the pairs of groups whose summed overlap allows a link, of rows (token, g, low, high, most) of the matrix.
+
+    most is the largest partner that a member can be similar to if the token is the first one that they share.
+    """
+    k = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    matrix = materialize(matrix.join(k, "token"), "matrix_shared")
+    other = matrix.select("token", F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("most").alias("most2"))
+    sizes = (F.col("high") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low") * percent)
+    few = matrix.where(F.col("k") <= CROWD).join(other, "token").where((F.col("g") < F.col("h")) & sizes)
+    few = few.select("g", "h", "low", "high", "low2", "high2", F.lit(1).alias("c"))
+    crowd = matrix.where(F.col("k") > CROWD)
+    crowded = crowd.limit(1).count() > 0
+    if crowded:
+        crowd = materialize(crowd, "crowded")
+        # The smaller set's size has to be in a class that both the smaller and the larger one's group allow.
+        class_of = lambda v: F.floor(F.log(F.greatest(v.cast("double"), F.lit(1.0))) / float(np.log(RATIO))).cast("int")
+        by_class = lambda rows, low, high: rows.where(low <= high).withColumn("size", F.explode(F.sequence(class_of(low), class_of(high))))
+        small = by_class(crowd, F.col("low"), F.least("high", "most"))
+        large = by_class(crowd, F.ceil(F.col("low") * percent / F.lit(100)), F.least("high", "most"))
+        large = large.select("token", "size", F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("most").alias("most2"))
+        fits = (F.col("low2") <= F.col("most")) & (F.col("low") <= F.col("most2")) & (F.col("low") <= F.col("high2")) & sizes & (F.col("g") != F.col("h"))
+        many = small.join(large, ["token", "size"]).where(fits).groupBy("g", "h").agg(*[getattr(F, f)(c).alias(c) for f, c in (("min", "low"), ("max", "high"), ("min", "low2"), ("max", "high2"))])
+        turn = F.col("g") > F.col("h")
+        swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+        many = many.select(swap("g", "h").alias("g"), swap("h", "g").alias("h"), swap("low", "low2").alias("low"), swap("high", "high2").alias("high"), swap("low2", "low").alias("low2"), swap("high2", "high").alias("high2"), F.lit(0).alias("c"))
+        few = few.unionByName(many)
+    pairs = few.groupBy("g", "h").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low2").alias("low2"), F.max("high2").alias("high2"))
+    if crowded:
+        more = materialize(crowd.groupBy("g").agg(F.count("*").alias("more")), "crowds")
+        pairs = pairs.join(more, "g", "left").join(more.select(F.col("g").alias("h"), F.col("more").alias("more2")), "h", "left")
+        extra = F.least(F.coalesce("more", F.lit(0)), F.coalesce("more2", F.lit(0)))
+    else:
+        extra = F.lit(0)
+    bound = F.least(_needed(F.col("low"), F.col("high"), F.col("high2"), percent), _needed(F.col("low2"), F.col("high2"), F.col("high"), percent))
+    return pairs.where((F.col("c") + extra) * (100.0 * (100 + percent)) > bound).select("g", "h", "high", "high2")
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -290,45 +360,33 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = np.argsort(hot)
     heavy = spark.sparkContext.broadcast((hot[order], rank[order]))
 
-    rows = materialize(_shared(_leading(docs, heavy, percent)), "matrix")
-    # Each token's sets are tried against a few of its sets, chosen by hashes so that other tokens choose the same.
-    draws = [F.xxhash64("set", F.lit(r)) for r in range(PIVOTS)]
-    pick = [F.struct(F.min_by("set", d).alias("b"), F.min_by("n", d).alias("m"), F.min_by("at", d).alias("to")) for d in draws]
-    pivots = materialize(rows.groupBy("token").agg(*[p.alias(f"p{r}") for r, p in enumerate(pick)]), "pivots")
-    near = rows.join(pivots, "token").withColumn("p", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])))
-    near = near.select("token", F.col("set").alias("a"), "n", "at", "p.*").where("a <> b")
-    # A token's sets are as many as its rows; where they are many, some more of them, about MORE, are tried.
-    crowd = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= 2 * MORE)
-    crowd = rows.join(materialize(crowd, "crowds"), "token").withColumn("share", F.pmod(F.xxhash64("set", F.lit(-1)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    # Shares are powers of two, so tokens of like crowds choose the same sets.
-    tried = crowd.where(F.col("share") * F.pow(F.lit(2.0), F.floor(F.log2(F.col("k") / F.lit(float(MORE))))) < 1)
-    tried = tried.select("token", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
-    near = near.unionByName(crowd.select("token", F.col("set").alias("a"), "n", "at").join(materialize(tried, "tried"), "token").where("a <> b"))
-    # A token that draws a pair more than once counts once for it.
-    swapped = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("to").alias("at"), F.col("n").alias("m"), F.col("at").alias("to"))
-    near = near.select("token", F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "at", "m", "to")).otherwise(swapped).alias("x"))
-    pairs = materialize(_bounded(near.select("token", "x.*").distinct(), percent), "pairs")
-    links = _verified(docs, pairs, percent)
-    groups = connected_components(links)
-
-    # The matrix proper: each group's row for each leading token of its members. Smaller groups query larger ones.
-    sized = groups.groupBy("component").agg(F.count("*").alias("many"))
-    placed = rows.join(groups.join(sized, "component").select(F.col("node").alias("set"), "component", "many"), "set", "left")
-    placed = placed.select("token", "set", "n", "at", F.coalesce("component", "set").alias("g"), F.coalesce("many", F.lit(1)).alias("many"))
-    placed = materialize(placed, "placed")
-    matrix = placed.groupBy("token", "g").agg(F.first("many").alias("hmany"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
-    open_tokens = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    matrix = materialize(matrix.join(open_tokens, "token"), "groups").withColumnRenamed("token", "t").withColumnRenamed("g", "h")
-    n = F.col("n")
-    smallest = F.greatest(F.col("low"), F.ceil(n * percent / F.lit(100)))
-    fits = (F.col("high") * 100 >= n * percent) & (n * 100 >= F.col("low") * percent)
-    bound = F.least(n - F.col("at"), F.col("left")) >= _least(n, smallest, percent)
-    larger = F.struct("hmany", "h") > F.struct("many", "g")
-    hits = placed.join(matrix, (F.col("token") == F.col("t")) & larger & fits & bound)
-    hits = materialize(hits.select(F.col("set").alias("q"), "h", "hmany").distinct(), "hits")
-    if hits.limit(1).count():
-        links = links.unionByName(_opened(docs, hits, placed.select("set", "g", "many").distinct(), percent))
-        groups = connected_components(links)
+    groups = _groups(profile, percent)
+
+    # The matrix: for each group the leading tokens of its members, with the members' sizes and possible partners.
+    rows = materialize(_shared(_leading(docs, heavy, percent), _bits(groups, "set")), "leading")
+    most = F.floor((100 + percent) * (F.col("n") - F.col("at")) / F.lit(percent)).cast("int") - F.col("n")
+    sized = rows.select("token", "set", "n", most.alias("most"), "grouped")
+    alone = sized.where("NOT grouped").select("token", F.col("set").alias("g"), F.col("n").alias("low"), F.col("n").alias("high"), "most")
+    held = sized.where("grouped").join(groups, "set", "left").withColumn("g", F.coalesce("g", "set"))
+    held = held.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"))
+    pairs = materialize(_qualifying(alone.unionByName(held), percent), "qualifying")
+    discard(rows)
+
+    # The smaller group of a pair asks, member by member; the larger one is opened in parts. Groups ask themselves, too.
+    sizes = profile.where("kind = 0 AND key IS NOT NULL").groupBy(F.col("key").alias("set")).agg(F.first("n").alias("n"))
+    count = groups.join(sizes, "set").groupBy("g").agg(F.count("*").alias("many"), F.sum("n").alias("tokens"))
+    count = materialize(count, "counts")
+    sided = pairs.select("g", "h").join(count.select("g", F.col("many").alias("m1")), "g", "left").join(count.select(F.col("g").alias("h"), F.col("many").alias("m2")), "h", "left")
+    turn = F.coalesce("m1", F.lit(1)) > F.coalesce("m2", F.lit(1))
+    asked = sided.select(F.when(turn, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(turn, F.col("g")).otherwise(F.col("h")).alias("h"))
+    asked = materialize(asked.unionByName(count.where("many > 1").select("g", F.col("g").alias("h"))), "asked")
+    parts = F.greatest(F.ceil(F.col("many") / PART), F.ceil(F.col("tokens") / PART_TOKENS), F.lit(1)).cast("int")
+    opened = asked.select("h").distinct().join(count.select(F.col("g").alias("h"), parts.alias("parts")), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    opened = materialize(opened, "parts")
+    of = lambda ids, c: ids.join(groups.withColumnRenamed("g", "of"), F.col(c) == F.col("of"), "left").withColumn("set", F.coalesce("set", c))
+    members = of(opened, "h").select("h", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), "set")
+    queries = of(asked.join(opened, "h"), "g").select(F.col("set").alias("q"), "h", "parts")
+    groups = connected_components(_opened(docs, queries, members, percent))
 
     owned = profile.where("kind = 0 AND key IS NOT NULL").groupBy(F.col("key").alias("set")).agg(F.min("doc_id").alias("first"))
     owned = owned.join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("g"), "first")
