@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions, require
+from .common import connected_components, discard, materialize, partitions, require, trimmed
 
 TABLES, HASHES, PROBES, SEED = 10, 3, 8, 7
 #: Alternatives per hash from which the probes are taken.
 ALTERNATIVES = 4
-#: Rows of a bucket that are compared with each other in one block.
-BLOCK = 1024
+#: Rows of a part of a bucket, and most bytes of their vectors; parts are compared with each other pair by pair.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Products that are held at once.
+STRIP = 1 << 19
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -138,39 +140,54 @@ def _bucket_rows(vectors: DataFrame, **how) -> DataFrame:
                     who = np.broadcast_to(cls[at][:, None, None], codes.shape)
                     yield pa.record_batch({"tab": tab[keep], "bucket": codes[keep], "own": pa.array(own[keep]), "cls": who[keep]})
 
-    return vectors.mapInArrow(work, "tab int, bucket long, own boolean, cls long")
+    return vectors.mapInArrow(trimmed(work), "tab int, bucket long, own boolean, cls long")
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, tab: int, bucket: int) -> np.ndarray:
-    """Whether pairs with codes a and b [pairs, tables, 1 + probes] meet here for the first time over tables and buckets."""
-    ok = np.ones(len(a), bool)
+def _first_meeting(codes: np.ndarray, i: np.ndarray, j: np.ndarray, tab: int, bucket: int) -> np.ndarray:
+    """Places of the pairs (i, j) of rows with codes [rows, tables, 1 + probes] that meet here first over tables and buckets."""
+    left = np.arange(len(i))
     for t in range(tab + 1):
-        into_a, into_b = (b[:, t] == a[:, t, :1]).any(1), (a[:, t] == b[:, t, :1]).any(1)
+        a, b = codes[i[left], t], codes[j[left], t]
+        into_a, into_b = (b == a[:, :1]).any(1), (a == b[:, :1]).any(1)
         if t < tab:
-            ok &= ~(into_a | into_b)
+            left = left[~(into_a | into_b)]
         else:
-            at_a, at_b = np.where(into_a, a[:, t, 0], np.iinfo(np.int64).max), np.where(into_b, b[:, t, 0], np.iinfo(np.int64).max)
-            ok &= np.minimum(at_a, at_b) == bucket
-    return ok
-
-
-def _linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs with cosine >= least, in double precision."""
-    i, j = np.nonzero(x @ y.T >= least - 1e-9)
-    cos = np.einsum("ij,ij->i", x[i], y[j])
-    return i[cos >= least], j[cos >= least]
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The smallest label that the pairs (i, j) connect each of n places with."""
-    label = label.copy()
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        if (label == before).all():
-            return label
+            at_a, at_b = np.where(into_a, a[:, 0], np.iinfo(np.int64).max), np.where(into_b, b[:, 0], np.iinfo(np.int64).max)
+            left = left[np.minimum(at_a, at_b) == bucket]
+    return left
+
+
+def _linked(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of the pairs of rows with cosine >= least, in double precision, strip by strip."""
+    n, step = len(x), max(1, STRIP // max(1, len(x)))
+    for k in range(0, n, step):
+        product = x[k : k + step] @ x[k:].T
+        i, j = np.nonzero(product >= least - 1e-9)
+        later = i < j
+        i, j = i[later], j[later]
+        cos = product[i, j]
+        close = np.flatnonzero(np.abs(cos - least) < 1e-9)  # the order of a sum may decide: these are summed alike everywhere
+        for c in range(0, len(close), 1024):
+            some = close[c : c + 1024]
+            cos[some] = np.einsum("ij,ij->i", x[k + i[some]], x[k + j[some]])
+        yes = cos >= least
+        yield i[yes] + k, j[yes] + k
+
+
+class _Sets:
+    """Disjoint sets of n places, joined by arrays of pairs; the root is the smallest place."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
 
 
 def _compare(rows: DataFrame, least: float, **how) -> DataFrame:
@@ -180,25 +197,29 @@ def _compare(rows: DataFrame, least: float, **how) -> DataFrame:
         own, blk, cls, mult = (t.column(c).to_numpy(zero_copy_only=False) for c in ("own", "blk", "cls", "mult"))
         if not own.any() or len(cls) < 2:
             return None
-        x = np.stack([_unit(np.frombuffer(v.as_buffer(), np.float64)) for v in t.column("v").combine_chunks()])
-        i, j = _linked(x, x, least)
-        upper = (cls[i] < cls[j]) & (own[i] | own[j])
-        # In a block of two parts only pairs across them are new.
-        upper &= (blk[i] != blk[j]) if bi != bj else True
-        i, j = i[upper], j[upper]
-        if not len(i):
+        order = np.argsort(cls, kind="stable")  # pairs have the smaller class first, so a pair's sum is the same everywhere
+        own, blk, cls, mult = own[order], blk[order], cls[order], mult[order]
+        v = t.column("v").combine_chunks().take(pa.array(order))
+        x = np.stack([_unit(np.frombuffer(v[k].as_buffer(), np.float64)) for k in range(len(v))])
+        sets, links, used = _Sets(len(cls)), np.zeros(len(cls), np.int64), np.zeros(len(cls), bool)
+        codes = None
+        for i, j in _linked(x, least):
+            # In a block of two parts only pairs across them are new.
+            new = (own[i] | own[j]) & (blk[i] != blk[j] if bi != bj else True)
+            i, j = i[new], j[new]
+            if not len(i):
+                continue
+            codes = buckets(x, **how) if codes is None else codes
+            sets.join(i, j)
+            used[i] = used[j] = True
+            for k in range(0, len(i), 20_000):
+                a, b = i[k : k + 20_000], j[k : k + 20_000]
+                first = _first_meeting(codes, a, b, tab, bucket)
+                np.add.at(links, a[first], mult[b[first]])
+                np.add.at(links, b[first], mult[a[first]])
+        if codes is None:
             return None
-        used = np.unique(np.r_[i, j])
-        codes = np.zeros((len(cls), *(c := buckets(x[used], **how)).shape[1:]), np.int64)
-        codes[used] = c
-        links = np.zeros(len(cls), np.int64)
-        for k in range(0, len(i), 20_000):
-            a, b = i[k : k + 20_000], j[k : k + 20_000]
-            new = _first_meeting(codes[a], codes[b], tab, bucket)
-            np.add.at(links, a[new], mult[b[new]])
-            np.add.at(links, b[new], mult[a[new]])
-        root = _roots(len(cls), i, j, cls)
-        return pa.record_batch({"cls": cls[used], "root": root[used], "links": links[used]})
+        return pa.record_batch({"cls": cls[used], "root": cls[sets.root][used], "links": links[used]})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -218,7 +239,7 @@ def _compare(rows: DataFrame, least: float, **how) -> DataFrame:
         if held and (out := block(*key, pa.Table.from_batches(held))) is not None:
             yield out
 
-    return rows.mapInArrow(work, "cls long, root long, links long")
+    return rows.mapInArrow(trimmed(work), "cls long, root long, links long")
 
 
 def embedding_duplicates(
@@ -238,8 +259,9 @@ def embedding_duplicates(
     Pairs with cosine >= least link when they meet in a bucket of one of the tables, as owner and owner or owner
     and prober; each is verified in double precision. With the defaults a pair at cosine 0.9 in 64 dimensions is
     found with probability 0.9995, nearer ones more surely. Equal vectors are one class, so copies cost nothing and
-    link with certainty. A bucket of over `block` rows is cut into blocks whose pairs of blocks are separate groups.
-    Links are counted where a pair first meets and never listed.
+    link with certainty. A bucket of over `block` rows (fewer where vectors are so wide that BLOCK_BYTES would be
+    exceeded) is cut into parts, and every pair of parts is a group of its own. Links are counted where a pair first
+    meets and never listed; products are made strip by strip, so a group of near copies costs time but no memory.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
     lengths never link. Rows with equal or null ids are rows of their own; component_id is the smallest id of the
@@ -253,6 +275,8 @@ def embedding_duplicates(
     classes = materialize(classes, "copies")
     vectors = materialize(_distinct_vectors(rows).join(classes.select("cls", "mult"), "cls"), "vectors")
 
+    widest = vectors.agg(F.max(F.octet_length("v"))).first()[0] or 8
+    block = max(2, min(block, BLOCK_BYTES // widest))
     placed = materialize(_bucket_rows(vectors.select("cls", "v"), **how), "buckets")
     full = placed.groupBy("tab", "bucket").agg(F.count("*").alias("m"), F.count_if("own").alias("owners")).where("m > 1 AND owners > 0")
     full = materialize(full.select("tab", "bucket", F.ceil(F.col("m") / block).cast("int").alias("parts")), "full")
@@ -262,6 +286,8 @@ def embedding_duplicates(
     met = met.join(vectors, "cls").select("tab", "bucket", "bi", "bj", "own", "blk", "cls", "mult", "v")
     met = met.repartition(partitions(df.sparkSession), "tab", "bucket", "bi", "bj").sortWithinPartitions("tab", "bucket", "bi", "bj")
     found = materialize(_compare(met, least, **how), "found")
+    for t in (placed, full, vectors):
+        discard(t)
 
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
