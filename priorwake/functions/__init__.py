@@ -57,3 +57,21 @@ def replaced(value: Column, mapping: dict, default, null=None) -> Column:
         return F.when(value.isNull(), F.lit(null)).otherwise(F.lit(default))
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
     return F.when(value.isNull(), F.lit(null)).otherwise(F.coalesce(F.try_element_at(F.create_map(*pairs), value), F.lit(default)))
+
+
+def bounds_below(value: Column, bounds: list[float]) -> Column:
+    """How many of the bounds, ascending and distinct, are below a value: a binary search in one expression. NaN is above all numbers, as in sorting."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= F.lit(float(bounds[middle])), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
+
+
+def ascending(bounds: list[float] | None) -> list[float]:
+    """Distinct bounds in Spark's order, a NaN last."""
+    numbers = sorted({float(b) for b in bounds or [] if b == b})
+    return numbers + [float("nan")] * any(b != b for b in bounds or [])

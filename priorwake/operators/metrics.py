@@ -11,18 +11,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorwake.functions import ratio
+from priorwake.functions import ascending, bounds_below, ratio
 
 RANGES = 256
 
 
 def curve(df: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
-    """(score, tp, fp, positives, negatives): counts at threshold >= score, one row a distinct score. Null scores and labels are left out."""
+    """(score, tp, fp, positives, negatives): counts at threshold >= score, one row a distinct score. Null scores and labels are left out; NaN is the highest score."""
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score"))
     by = by.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    bounds = by.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
-    cuts = F.expr(f"array({', '.join(f'{float(b)!r}D' for b in sorted(set(bounds)))})") if bounds else F.array().cast("array<double>")
-    by = by.withColumn("part", F.size(F.filter(cuts, lambda b: b < F.col("score"))))
+    bounds = by.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
+    by = by.withColumn("part", bounds_below(F.col("score"), ascending(bounds)))
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # over `ranges` rows at most
     parts = by.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
     parts = parts.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwake.contracts import require_columns
-from priorwake.functions import ratio
+from priorwake.functions import ascending, bounds_below, ratio
 
 LEVELS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -54,7 +54,7 @@ def top_values(df: DataFrame, columns, k: int = 20) -> DataFrame:
 
 
 def nearest_quantiles(df: DataFrame, column: str, levels=LEVELS, cuts: int = 256) -> DataFrame:
-    """(level, value): the value at index round((n - 1) * level), halves up, of the sorted non-null values. Exact.
+    """(level, value): the value at index round((n - 1) * level), halves up, of the sorted non-null values. Exact; NaN is the highest value.
 
     Approximate quantiles cut the values into `cuts` ranges; counts of the ranges tell which range holds each index,
     and only these ranges are ordered, each in a task of its own.
@@ -66,10 +66,7 @@ def nearest_quantiles(df: DataFrame, column: str, levels=LEVELS, cuts: int = 256
     schema = "level double, value double"
     if not bounds:
         return spark.createDataFrame([(float(x), None) for x in levels], schema)
-    bounds = sorted(set(bounds))
-    # width_bucket over uneven bounds: the number of bounds below the value.
-    part = F.size(F.filter(F.expr(f"array({', '.join(f'{float(b)!r}D' for b in bounds)})"), lambda b: b < F.col("v")))
-    placed = values.withColumn("part", part)
+    placed = values.withColumn("part", bounds_below(F.col("v"), ascending(bounds)))
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most `cuts` rows
     total, wanted = sum(sizes.values()), []
     for level in levels:

@@ -399,6 +399,17 @@ def recall_at_fpr(spark, sf):
     return _round(metrics.recall_under_fpr(labelled(spark, sf), "n_chars", "quality", _CAPS), 6, keep=("threshold", "fpr_cap"))
 
 
+_LOW_CAPS = (0.01, 0.001)
+
+
+@_query(
+    "recall_at_low_fpr",
+    _CURVE + " " + " UNION ALL ".join(f"SELECT {cap}::DOUBLE AS fpr_cap, round(coalesce(max(tp / pos), 0), 6)::DOUBLE AS recall, coalesce(max_by(s, (tp / pos, s)), 'infinity'::DOUBLE) AS threshold FROM (SELECT * FROM c WHERE fp / neg <= {cap})" for cap in _LOW_CAPS),
+)
+def recall_at_low_fpr(spark, sf):
+    return _round(metrics.recall_under_fpr(labelled(spark, sf), "n_chars", "quality", _LOW_CAPS), 6, keep=("threshold", "fpr_cap"))
+
+
 @_query(
     "confusion",
     """WITH l AS (SELECT n_chars >= 1000 AS h, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (NOT h AND NOT y) AS tn, count(*) FILTER (h AND NOT y) AS fp, count(*) FILTER (NOT h AND y) AS fn, count(*) FILTER (h AND y) AS tp FROM l)

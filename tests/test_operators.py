@@ -104,3 +104,13 @@ def test_entry_registers(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_curves_and_quantiles_of_values_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(nan, 1), (inf, 1), (2.0, 0), (1.0, 1), (-inf, 0), (None, 1), (1.0, 0), (0.5, None)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    curve = [(str(r["score"]), r["tp"], r["fp"]) for r in metrics.curve(df, "s", "y", 4).orderBy(F.desc("score")).collect()]
+    assert curve == [("nan", 1, 0), ("inf", 2, 0), ("2.0", 2, 1), ("1.0", 3, 2), ("-inf", 3, 3)]
+    got = [str(r["value"]) for r in profile.nearest_quantiles(df, "s", (0.0, 0.5, 1.0)).orderBy("level").collect()]
+    assert got == ["-inf", "1.0", "nan"]
