@@ -2,7 +2,7 @@
 
 Text likelihoods come from byte trigrams counted over all labelled texts. What a declaration or a suffix says is
 learned from how the text's languages spread over it, by grouped sums of the texts' own posteriors; a host's prior is
-smoothed towards its domain's and that towards the corpus's, each less the document's own share.
+smoothed towards its domain's and that towards the corpus's. A document's own share is taken off all these sums.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require
+from .common import materialize, require, trimmed
 
 BUCKETS = 1 << 14
 #: Trigrams overlap, so their evidence counts for a part.
 TEMPER = 0.25
 #: Most bytes that are scored at once.
 SLICE = 1 << 21
-#: A host table of up to so many rows is broadcast; a larger one is joined by its key.
-SMALL = 20_000
+#: Most bytes of a host table that is broadcast; a larger one is joined by its key.
+SMALL = 16 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,7 +122,7 @@ def fit_text_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     label = F.col(lang_col).cast("string")
     blank = F.trim(label) == ""
     rows = labelled.select(F.when(~blank, F.coalesce(code_of(label), F.lower(F.trim(label)))).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
-    counts = materialize(rows.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counts = materialize(rows.mapInArrow(trimmed(work), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     lists = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("own"))
     t = lists.select("lang", "all", F.col("own.bucket").alias("bucket"), F.col("own.n").alias("n")).toArrow().sort_by([("all", "descending"), ("lang", "ascending")])
     seen, unseen = [], []
@@ -181,16 +181,21 @@ def identify(
     least: float = 0.6,
     letters: float = 0.3,
 ) -> DataFrame:
-    """rows with _lang, _confidence, _text_lang, _rejected, all other columns kept as they are.
-
-    _lang is the language of the highest posterior. A row is rejected, with _lang null, if its text is null or has no
-    letters, if letters are less than `letters` of what is no white space, or if the posterior stays below `least`.
-    Rows without a declaration, suffix or host simply lack that evidence; null hosts share no prior. Texts are scored
-    whole and never shuffled; sums over a host are partial aggregates, and its prior comes back by a broadcast
-    when there are at most SMALL hosts, else by a join. An empty table gives no rows.
+    """rows with _lang, _confidence, _text_lang, _rejected; all other columns are kept as they are, those of these names are replaced.
+
+    _lang is the language of the highest posterior, of equal ones the first of the model. A row is rejected, with _lang
+    null, if its text is null or has no letters, if letters are less than `letters` of what is no white space, or if the
+    posterior stays below `least`. Rows without a declaration, suffix or host simply lack that evidence; null hosts share
+    no prior. Repeated rows are evidence for each other. Texts are scored whole, the fusion is one pass over a row's sums, and
+    texts are not shuffled as long as the host table has at most SMALL bytes and is broadcast; a larger one is joined, with
+    null hosts spread over all tasks. An empty table gives no rows.
     """
     n = len(model.languages)
+    results = ("_lang", "_confidence", "_text_lang", "_rejected")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in results]
     none = F.lit(None).cast("string")
+    if not n:
+        return rows.select(*kept, none.alias("_lang"), F.lit(0.0).alias("_confidence"), none.alias("_text_lang"), F.lit(True).alias("_rejected"))
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
@@ -198,57 +203,76 @@ def identify(
         made = held.value.likelihoods(texts)
         return pa.ListArray.from_arrays(np.arange(0, made.size + 1, made.shape[1] or 1, dtype=np.int32)[: len(made) + 1], made.ravel())
 
-    if not n:
-        return rows.withColumns({"_lang": none, "_confidence": F.lit(0.0), "_text_lang": none, "_rejected": F.lit(True)})
-    soft = lambda logs: F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    norm = lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, b: a + b))
-    facts = {"_dec": code_of(declared) if declared is not None else none, "_suf": suffix if suffix is not None else none, "_host": host if host is not None else none}
-    facts["_dom"] = domain if domain is not None else facts["_host"]
-    rows = rows.withColumns({"_r": read(text), **facts})
-    seen = rows.select("_dec", "_suf", "_host", "_dom", norm(soft(F.slice("_r", 1, n))).alias("p"), F.col("_r")[n + 1].alias("m"))
-    seen = materialize(seen.where("m > 0").drop("m"), "posteriors")
+    @F.arrow_udf("array<double>")
+    def spread(read: pa.Array) -> pa.Array:
+        own = _posterior(_matrix(read, n + 2)[0], n)
+        return pa.ListArray.from_arrays(np.arange(0, own.size + 1, n, dtype=np.int32), own.ravel())
+
+    facts = {"lid__dec": code_of(declared) if declared is not None else none, "lid__suf": suffix if suffix is not None else none, "lid__host": host if host is not None else none}
+    facts["lid__dom"] = domain if domain is not None else facts["lid__host"]
+    rows = rows.select(*kept, read(text).alias("lid__r"), *[v.alias(k) for k, v in facts.items()])
+    keys = [k for k in facts]
+    seen = materialize(rows.select(*keys, spread("lid__r").alias("p"), F.col("lid__r")[n + 1].alias("m")).where("m > 0").drop("m"), "posteriors")
     everything = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
-    overall = np.array([everything[f"s{i}"] for i in range(n)]) + 0.5
-    prior = [float(x) for x in overall / overall.sum()]
-
-    def evidence(key: str, name: str) -> DataFrame:
-        """(key, name): log of how much likelier the key is under each language. Keys are short codes, so there are at most some 40,000."""
-        t = _sums(seen.where(F.col(key).isNotNull()), [key], n)
-        total = t.agg(*[F.sum(f"s{i}").alias(f"t{i}") for i in range(n)], F.count("*").alias("k"))
-        t = t.crossJoin(total)  # one row
-        return t.select(key, F.array(*[F.ln((F.col(f"s{i}") + 0.5) / (F.col(f"t{i}") + 0.5 * (F.col("k") + 1))) for i in range(n)]).alias(name))
-
-    hosts = _sums(seen.where(F.col("_host").isNotNull()), ["_host", "_dom"], n)
-    domains = _sums(hosts.withColumn("p", F.array(*[F.col(f"s{i}") for i in range(n)])), ["_dom"], n)
-    hosts = hosts.select("_host", "_dom", F.array(*[F.col(f"s{i}") for i in range(n)]).alias("_hs"))
-    domains = domains.select("_dom", F.array(*[F.col(f"s{i}") for i in range(n)]).alias("_ds"))
-    hosts = materialize(hosts.join(domains, "_dom").select("_host", F.col("_dom").alias("_d2"), "_hs", "_ds"), "hosts")
-    out = rows.join(F.broadcast(materialize(evidence("_dec", "_le_dec"), "declared")), "_dec", "left").join(F.broadcast(materialize(evidence("_suf", "_le_suf"), "suffixes")), "_suf", "left")
-    small = hosts.count() <= SMALL
-    out = out.join(F.broadcast(hosts) if small else hosts, (out["_host"] == hosts["_host"]) & (out["_dom"] == hosts["_d2"]), "left").drop(hosts["_host"]).drop("_d2")
-
-    flat = F.array(*[F.lit(0.0)] * n)
-    base = F.array(*[F.lit(x) for x in prior])
-    own = F.when(F.col("_r")[n + 1] > 0, norm(soft(F.slice("_r", 1, n)))).otherwise(flat)
-    less = lambda sums: F.zip_with(F.coalesce(sums, flat), own, lambda s, o: F.greatest(s - F.when(F.col("_hs").isNotNull(), o).otherwise(F.lit(0.0)), F.lit(0.0)))
-    smooth = lambda sums, up: (lambda whole: F.zip_with(sums, up, lambda s, u: (s + F.lit(strength) * u) / (whole + F.lit(strength))))(F.aggregate(sums, F.lit(0.0), lambda a, b: a + b))
-    out = out.withColumns({"_h": less(F.col("_hs")), "_d": less(F.col("_ds"))})
-    out = out.withColumn("_prior", smooth(F.col("_h"), smooth(F.col("_d"), base)))
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = plus(plus(plus(F.slice("_r", 1, n), F.transform("_prior", lambda x: F.ln(x))), F.coalesce("_le_dec", flat)), F.coalesce("_le_suf", flat))
-    out = out.withColumn("_post", logs)
-    out = out.withColumn("_post", norm(soft(F.col("_post"))))
-    names = F.array(*[F.lit(x) for x in model.languages])
-    pick = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    likely = F.slice("_r", 1, n)
-    rejected = (F.col("_r")[n] < letters) | (F.col("_r")[n] <= 0) | (F.array_max("_post") < least)
-    return out.select(
-        *[c for c in rows.columns if c not in ("_r", "_dec", "_suf", "_host", "_dom")],
-        F.when(~rejected, pick(F.col("_post"))).alias("_lang"),
-        F.round(F.array_max("_post"), 6).alias("_confidence"),
-        F.when(F.col("_r")[n + 1] > 0, pick(likely)).alias("_text_lang"),
-        rejected.alias("_rejected"),
-    )
+    base = np.array([everything[f"s{i}"] for i in range(n)]) + 0.5
+    base = base / base.sum()
+
+    def evidence(key: str, name: str) -> tuple[DataFrame, np.ndarray, int]:
+        """(key, name): the sums of a key, which is a short code, so there are at most some 40,000; their totals; the number of keys."""
+        t = materialize(_sums(seen.where(F.col(key).isNotNull()), [key], n), name)
+        total = t.agg(F.count("*").alias("k"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(n)]).first()
+        return t.select(key, F.array(*[f"s{i}" for i in range(n)]).alias(name)), np.array([total[f"t{i}"] for i in range(n)]), total["k"]
+
+    dec, dec_total, decs = evidence("lid__dec", "lid__dec_sums")
+    suf, suf_total, sufs = evidence("lid__suf", "lid__suf_sums")
+    hosts = _sums(seen.where(F.col("lid__host").isNotNull()), ["lid__host", "lid__dom"], n)
+    domains = _sums(hosts.withColumn("p", F.array(*[f"s{i}" for i in range(n)])), ["lid__dom"], n)
+    hosts = hosts.select("lid__host", "lid__dom", F.array(*[f"s{i}" for i in range(n)]).alias("lid__hs"))
+    domains = domains.select("lid__dom", F.array(*[f"s{i}" for i in range(n)]).alias("lid__ds"))
+    hosts = materialize(hosts.join(domains, "lid__dom").select(F.col("lid__host").alias("lid__h2"), F.col("lid__dom").alias("lid__d2"), "lid__hs", "lid__ds"), "hosts")
+    size = hosts.agg(F.sum(F.octet_length("lid__h2") + F.octet_length("lid__d2") + F.lit(16 * n + 64))).first()[0] or 0
+    out = rows.join(F.broadcast(dec), "lid__dec", "left").join(F.broadcast(suf), "lid__suf", "left")
+    if size <= SMALL:
+        out = out.join(F.broadcast(hosts), (out["lid__host"] == hosts["lid__h2"]) & (out["lid__dom"] == hosts["lid__d2"]), "left")
+    else:  # no host has a zero byte, so these keys meet nothing
+        key = F.coalesce("lid__host", F.concat(F.lit("\x00"), F.pmod(F.hash("lid__r"), F.lit(4093)).cast("string")))
+        out = out.withColumn("lid__key", key)
+        out = out.join(hosts, (out["lid__key"] == hosts["lid__h2"]) & (out["lid__dom"] == hosts["lid__d2"]), "left")
+
+    @F.arrow_udf("struct<_lang:string,_confidence:double,_text_lang:string,_rejected:boolean>")
+    def fuse(read: pa.Array, hs: pa.Array, ds: pa.Array, dec: pa.Array, suf: pa.Array) -> pa.Array:
+        r = _matrix(read, n + 2)[0]
+        own, logs = _posterior(r, n), r[:, :n]
+        (h, known), (d, _), (c, declared), (e, ended) = (_matrix(x, n) for x in (hs, ds, dec, suf))
+        less = lambda sums, has: np.maximum(sums - own * has[:, None], 0.0)
+        smooth = lambda sums, up: (sums + strength * up) / (sums.sum(1, keepdims=True) + strength)
+        total = logs + np.log(smooth(less(h, known), smooth(less(d, known), base)))
+        for sums, has, whole, k in ((c, declared, dec_total, decs), (e, ended, suf_total, sufs)):
+            rest = np.maximum(whole - own * has[:, None], 0.0)
+            total += np.where(has[:, None], np.log((less(sums, has) + 0.5) / (rest + 0.5 * (k + 1))), 0.0)
+        post = np.exp(total - total.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        sure, names = post.max(1), np.array(model_names, object)
+        rejected = (r[:, n] < letters) | (r[:, n] <= 0) | (sure < least)
+        told, by_text = np.where(rejected, None, names[post.argmax(1)]), np.where(r[:, n + 1] > 0, names[logs.argmax(1)], None)
+        return pa.StructArray.from_arrays([pa.array(told, pa.string()), pa.array(np.round(sure, 6)), pa.array(by_text, pa.string()), pa.array(rejected)], ["_lang", "_confidence", "_text_lang", "_rejected"])
+
+    model_names = list(model.languages)
+    return out.select(*kept, fuse("lid__r", "lid__hs", "lid__ds", "lid__dec_sums", "lid__suf_sums").alias("lid__out")).select(*kept, "lid__out.*")
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of one length as rows, null as zeros; which rows are not null."""
+    ok = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width))
+    out[ok] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out, ok
+
+
+def _posterior(read: np.ndarray, n: int) -> np.ndarray:
+    """A text's own posteriors of the n languages; zeros for a text without trigrams."""
+    soft = np.exp(read[:, :n] - read[:, :n].max(1, keepdims=True, initial=-np.inf))
+    return np.where(read[:, n + 1 :] > 0, soft / soft.sum(1, keepdims=True), 0.0)
 
 
 def identify_pages(pages: DataFrame, model: TextModel, **how) -> DataFrame:
