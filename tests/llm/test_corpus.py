@@ -346,3 +346,133 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows).select(*corpus_pipeline.COLUMNS), str(tmp_path)).collect()]
     want = [(1, a), (7, b), (7, c), (7, ""), (7, None), (None, e), (None, ""), (3, d.upper())]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def _linked_components(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("width", [16, 64])
+def test_embedding_components_and_recall(spark, width):
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(150, width))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(150, width))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9005, 0.92, (150, 1))
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * other])
+    near = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i < j}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embed_dedup.embedding_duplicates(df, block=40).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * 2 * len(near)
+    for r in got.values():
+        assert r["kept"] == (r["vec_id"] == r["component_id"]) and (r["component_id"] != r["vec_id"]) <= (r["n_links"] > 0)
+    if sum(r["n_links"] for r in got.values()) == 2 * len(near):
+        assert [got[i]["component_id"] for i in range(len(x))] == _linked_components(len(x), near)
+
+
+def test_near_copies_take_no_memory_by_the_pair():
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(1, 64)) + 0.01 * np.random.default_rng(5).normal(size=(2048, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    pairs = sum(len(i) for i, _ in embed_dedup._linked(x, 0.9))
+    assert pairs == 2048 * 2047 // 2 and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_jaccard_of_crowded_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
+    monkeypatch.setattr(jaccard, "PART", 4)
+    rng = random.Random(12)
+    line = prose(rng, 12)
+    rows = [(i, prose(rng, rng.randrange(1, 4)) + " " + line + " " + prose(rng, rng.randrange(1, 40))) for i in range(60)]
+    family = prose(rng, 50).split()
+    for i in range(40):
+        w = list(family)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = "other"
+        rows.append((100 + i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = {rows[i][0]: rows[c][0] for i, c in enumerate(_linked_components(len(rows), links))}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(documents(spark, rows)).collect()} == want
+
+
+def _field(number, value):
+    def varint(v):
+        out = b""
+        while v > 127:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_pieces_of_a_unigram_model_agree_with_the_library(tmp_path):
+    import struct
+
+    import sentencepiece
+
+    def piece(text, score, kind):
+        return _field(1, _field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + _field(3, kind))
+
+    rng = random.Random(13)
+    words = ["▁", *"abcde", "ab", "bc", "abc", "▁a", "▁ab", "cd", "de", "▁de", "ea", "cde"]
+    model = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3) + b"".join(piece(f"<0x{i:02X}>", 0.0, 6) for i in range(256))
+    model += b"".join(piece(w, -rng.uniform(1, 6), 1) for w in words)
+    plain = _field(3, 1) + _field(4, 0) + _field(5, 1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model + _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(1, b"identity") + plain))
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    v = pieces.Vocabulary.load(str(path))
+    assert v.prefix and not v.by_byte
+    work = pieces.Segmenter(v, 4)
+    for _ in range(30):
+        t = "".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 12))).strip() or "a"
+        ids, paths, segments = work.encode(t)
+        theirs = sp.nbest_encode(t, nbest_size=4, out_type=int)
+        score = lambda xs: sum(v.scores[v.pieces[i]] for i in xs)
+        assert [round(s, 4) for s, _ in paths] == [round(score(x), 4) for x in theirs]
+        assert round(score(ids), 4) == round(score(sp.encode(t)), 4) and v.decode(ids) == t
+    path.write_bytes(model + _field(3, _field(1, b"nmt") + _field(2, b"xx") + plain))
+    with pytest.raises((ValueError, RuntimeError, OSError)):
+        pieces.Vocabulary.load(str(path))
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    v = pieces.Vocabulary.load()
+    rng = random.Random(14)
+    text = prose(rng, 3000) + "  " + "xy" * 300 + " é\n▁ " + prose(rng, 500)
+    whole = pieces.Segmenter(v, 4).encode(text)
+    monkeypatch.setattr(pieces, "RUN", 700)
+    monkeypatch.setattr(pieces, "KEPT", 5_000)
+    parts, score, paths, good = next(pieces.Segmenter(v, 4).encode_all([text]))
+    assert np.concatenate(list(parts)).tolist() == whole[0] and good
+    assert [round(s, 6) for s, _ in paths] == [round(s, 6) for s, _ in whole[1]]
+    assert v.decode(whole[0]) == text
+
+
+def test_surrogates_of_long_and_foreign_mentions(spark):
+    long = "x" * 70 + "@mail.example.org"
+    rows = [(1, f"to {long} now"), (2, "Mr SMITH, Mr O'Brien-Jones and Mr Παπαδόπουλος"), (3, "Frau Иванова"), (4, "иван@почта.рф"), (5, "y" * 200_000)]
+    df = documents(spark, rows).withColumn("entities", F.lit(1))
+    made = surrogates.replace_entities(df, key="k")
+    assert made.columns.count("entities") == 1
+    by = {r["doc_id"]: r["clean_text"] for r in made.collect()}
+    assert "xxxxx" not in by[1] and by[1].startswith("to ") and by[1].endswith(" now") and by[5] == rows[4][1]
+    assert re.fullmatch(r"Mr [A-Z]{2,}, Mr [A-Z][a-z]*'[A-Z][a-z]+-[A-Z][a-z]+ and Mr [Α-Ω][α-ωά-ώ]+", by[2]), by[2]
+    assert re.fullmatch(r"Frau [А-Я][а-я]+", by[3]) and re.match(r"[а-я]{4}\.", by[4])
