@@ -11,11 +11,11 @@ from .common import materialize, partitions, require
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña")
 NEUTRAL = ("Dr", "Prof")
-_WORDS = r"[\p{Lu}][\p{Ll}\p{Lu}'-]*[\p{Ll}]"
+_WORDS = r"\p{Lu}[\p{L}'’-]*\p{L}"
 TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 #: Type, pattern: in this order where several match at one place.
 TYPES = (
-    ("email", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[\x20.-]?)?\(\d{2,4}\)[\x20.-]?\d{3}[\x20.-]?\d{4}(?!\d)|\+\d{1,3}(?:[\x20.-]?\d){7,12}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
@@ -26,8 +26,8 @@ PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
 #: A text without any of these has no entity.
 HINT = rf"[@0-9]|(?:{TITLES})"
 ATTEMPTS = 16
-#: Most texts whose retries are broadcast; beyond that they are joined.
-SMALL = 20_000
+#: Most bytes of the retries that are broadcast; beyond that they are joined.
+SMALL = 16 << 20
 
 
 def entity_type(m: Column) -> Column:
@@ -60,6 +60,27 @@ def _digits(h: Column) -> Column:
     return F.translate(h, "abcdef", "283746")
 
 
+#: Letters of the digests in other scripts; fixed values.
+LATIN, CYRILLIC, GREEK = "bdfgklmnprstvzhjaeiou", "бдфгклмнпрствзхжаеиоу", "βδφγκλμνπρστχζθξαειου"
+
+
+def _in_script(like: Column, letters: Column, other: Column) -> Column:
+    """Latin letters in the script of a text; other for Latin and for scripts without a list."""
+    cyrillic = F.when(like.rlike(r"\p{IsCyrillic}"), F.translate(letters, LATIN, CYRILLIC))
+    return cyrillic.when(like.rlike(r"\p{IsGreek}"), F.translate(letters, LATIN, GREEK)).otherwise(other)
+
+
+def _cased(like: Column, made: Column) -> Column:
+    """made in capitals if like is, with a capital if like has one, else small."""
+    capital = F.substring(like, 1, 1).rlike(r"\p{Lu}")
+    return F.when(capital & ~like.rlike(r"\p{Ll}") & ((F.length(like) > 1) | (F.length(made) == 1)), F.upper(made)).when(capital, F.initcap(made)).otherwise(made)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value as a variable: its expression stands in the plan once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _like(m: Column, h: Column) -> Column:
     """m with every digit, and every letter in its case and script, replaced by those of a digest; the rest stays."""
     d = _digits(h)
@@ -69,9 +90,7 @@ def _like(m: Column, h: Column) -> Column:
         F.when(c.rlike("[0-9]"), at(d, i))
         .when(c.rlike("[a-z]"), at(lower, i))
         .when(c.rlike("[A-Z]"), F.upper(at(lower, i)))
-        .when(c.rlike(r"\p{IsCyrillic}"), F.translate(at(lower, i), "bdgklmnprstvaeio", "бдгклмнпрствaеио"))
-        .when(c.rlike(r"\p{Ll}"), F.translate(at(lower, i), "aeio", "áéíó"))
-        .when(c.rlike(r"\p{Lu}"), F.upper(at(lower, i)))
+        .when(c.rlike(r"\p{L}"), _let(at(lower, i), lambda v: _cased(c, _in_script(c, v, F.translate(v, "aeio", "áéíó")))))
         .otherwise(c)
     )
     return F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), turn), "")
@@ -87,13 +106,15 @@ def _luhn(m: Column) -> Column:
 
 
 def _word(key: str, w: Column, female: Column, male: Column, attempt: Column) -> Column:
-    """A made-up name for a name's word: as capitalised, in its script, with an ending of its gender."""
-    h = _hex(key, F.lit("word"), F.lower(w), attempt)
-    syllables = F.concat(*[F.concat(F.substring(F.translate(h, "0123456789abcdef", "bdfgklmnprstvzhj"), 2 * i + 1, 1), F.substring(F.translate(h, "0123456789abcdef", "aeiouaeiouaeioue"), 2 * i + 2, 1)) for i in range(5)])
-    made = F.concat(syllables, F.when(female, F.lit("a")).when(male, F.lit("n")).otherwise(F.lit("s")))
-    latin = F.initcap(made)
-    cyrillic = F.initcap(F.translate(made, "bdfgklmnprstvzhjaeiou", "бдфгклмнпрствзхжаеиоу"))
-    return F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+    """A made-up name for a name's word: in its case and script, with an ending of its gender; hyphens and apostrophes stay."""
+
+    def part(x: Column) -> Column:
+        h = _hex(key, F.lit("word"), F.lower(x), attempt)
+        syllables = F.concat(*[F.concat(F.substring(F.translate(h, "0123456789abcdef", "bdfgklmnprstvzhj"), 2 * i + 1, 1), F.substring(F.translate(h, "0123456789abcdef", "aeiouaeiouaeioue"), 2 * i + 2, 1)) for i in range(5)])
+        made = F.concat(syllables, F.when(female, F.lit("a")).when(male, F.lit("n")).otherwise(F.lit("s")))
+        return F.when(x.rlike(r"^\p{L}"), _let(_let(made, lambda v: _in_script(x, v, v)), lambda v: _cased(x, v))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(w, r"(?<=['’-])|(?=['’-])"), part), "")
 
 
 def surrogate(m: Column, key: str, attempt: Column | None = None) -> Column:
@@ -107,10 +128,10 @@ def surrogate(m: Column, key: str, attempt: Column | None = None) -> Column:
     email = F.concat(_like(F.substring_index(m, "@", 1), h), F.lit("."), F.substring(h, 40, 8), F.lit("@"), F.substring(_hex(key, F.lit("domain"), F.lower(F.substring_index(m, "@", -1)), F.lit(0)), 1, 8), F.lit(".example"))
     country = F.regexp_extract(m, r"^\+\d{1,3}(?=[\x20.-]?\(|[\x20.-])", 0)
     # The digits alone seed the phone's, so another way of writing the same number keeps them.
-    phone = F.concat(country, _like_digits(F.substring(m, F.length(country) + 1, 1000), _digits(h)))
+    phone = F.concat(country, _like_digits(F.substring(m, F.length(country) + 1, F.length(m)), _digits(h)))
     title = F.regexp_extract(m, rf"^(?:{TITLES})\.?\x20+", 0)
     bare = F.regexp_extract(title, r"^[\p{L}]+", 0)
-    words = F.split(F.substring(m, F.length(title) + 1, 1000), " ")
+    words = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
     name = F.concat(title, F.array_join(F.transform(words, lambda w: _word(key, w, bare.isin(*FEMALE), bare.isin(*MALE), attempt)), " "))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _luhn(_like_digits(m, _digits(h)))).when(kind.isin("phone", "ssn"), F.when(kind == "phone", phone).otherwise(_like_digits(m, _digits(h)))).otherwise(name)
 
@@ -152,11 +173,13 @@ def replace_entities(docs: DataFrame, *, key: str, text_col: str = "text", out:
 
     Distinct entities get distinct surrogates, none of which is an entity of the corpus: collisions are looked for over
     all distinct entities, and the few that collide are replaced anew. Mentions of one entity agree in all documents.
-    Names are made of their words, so a later mention by surname alone agrees too.
+    Names are found behind a title of the lists and made of their words, so a later mention by title and surname has the
+    same stem; the ending follows the title's gender. A name without a title stays.
 
     Only the entities are shuffled. The retries of the few texts with a collided entity come back by a hash of the text,
-    which is the same for repeated rows: by a broadcast for at most SMALL texts, else by a join. A null text stays null and has no entities.
-    Other columns stay. An empty table gives no rows. Only JVM functions run.
+    which is the same for repeated rows: by a broadcast for at most SMALL bytes, else by a join. A null text stays null and has no entities.
+    Texts and entities of any length are read whole. Other columns stay, but for one named entities or like out, which gives
+    way. An empty table gives no rows. Only JVM functions run.
     """
     require(docs, text_col)
     text = F.col(text_col)
@@ -171,9 +194,10 @@ def replace_entities(docs: DataFrame, *, key: str, text_col: str = "text", out:
     again = retries.limit(1).count() > 0
     rows = docs.withColumn("_m", matches)
     if again:
-        redone = mentions.join(retries, ["kind", "value"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("m", "attempt"))).alias("_retry"))
+        redone = mentions.join(retries, ["kind", "value"]).groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("m", "attempt"))).alias("_retry"), F.sum(F.octet_length("m") + 32).alias("_bytes"))
         redone = materialize(redone.withColumnRenamed("th", "_th"), "redone")
-        small = redone.count() <= SMALL
+        small = (redone.agg(F.sum("_bytes")).first()[0] or 0) <= SMALL
+        redone = redone.drop("_bytes")
         rows = rows.withColumn("_th", F.xxhash64(text)).join(F.broadcast(redone) if small else redone, "_th", "left").drop("_th")
         attempt = lambda m: F.coalesce(F.try_element_at(F.col("_retry"), m), F.lit(0))
     else:
@@ -183,7 +207,7 @@ def replace_entities(docs: DataFrame, *, key: str, text_col: str = "text", out:
     whole = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("_m")), made, lambda p, s: F.concat(p, s)), ""), F.element_at(parts, -1))
     entities = F.transform("_m", lambda m: F.struct(entity_type(m).alias("kind"), F.sha2(F.concat(F.lit(key), normal(m)), 256).alias("hash")))
     rows = rows.withColumn(out, F.when(F.size("_m") > 0, whole).otherwise(text)).withColumn("entities", entities)
-    return rows.select(*docs.columns, out, "entities")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, "entities")], out, "entities")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
