@@ -9,6 +9,10 @@ is the state; closed under suffixes and prefixes the states form an automaton th
 The word tree does the same with contexts of one and two frequent words over all words. A token's probability is MIX
 times the word tree's plus 1 - MIX times the byte tree's: both sum to one, so the mixture does, and words that the
 training rows lack are spelled by the byte tree.
+
+Both trees are bounded by shares, so that every task can hold them. What grows with the corpus is the tree of rare words:
+the word tree gives them a common probability, which is shared out among them after the two words before, whatever these
+are. Such a context is retained from two occurrences of one continuation on, if it diverges; its counts never leave the cluster.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, require
+from .common import lower_words, materialize, mix64, require
 
 DEPTH = 6
 #: Least share of all positions that a retained context has, least divergence (nats) from its parent, and prior weight of the parent.
@@ -30,6 +34,8 @@ FLOOR, DIVERGENCE, PRIOR = 1e-5, 0.005, 10.0
 START, END = 0xFE, 0xFF
 #: Words whose counts every scoring task holds; all others are joined, so this changes the speed only.
 HEAD = 1 << 17
+#: Rare words are those with a count below 2 + RARE * all training tokens, so at most 1 / RARE words are not; DISCOUNT is taken off their counts after a context.
+RARE, DISCOUNT = 5e-7, 0.5
 SEGMENT, LANES = 512, 4096
 #: Weight of the word tree; the words that its contexts consist of, singly and in pairs; its floors for contexts and continuations.
 MIX = 0.6
@@ -45,6 +51,19 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+class _Memo(dict):
+    """A function's values by word; forgotten when they are many."""
+
+    def __init__(self, of, most: int = 150_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = self.of(word)
+        return value
+
+
 class _Sums:
     """Counts by int64 key that are given away when they are many."""
 
@@ -62,7 +81,7 @@ class _Sums:
                 self.parts, self.size = [(keys, n)], len(keys)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
+        if not self.size:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
@@ -207,15 +226,16 @@ class Tree:
             lane = order[k : k + LANES]
             a, b, c = first[lane], start[lane], stop[lane]
             state = np.zeros(len(lane), np.int64)
-            live = len(lane)
-            for step in range(-warm, int((c - b).max())):
-                if step >= 0:  # longest first: lanes that have ended are at the end
-                    live = int(np.count_nonzero(b + step < c))
+            for step in range(-warm, 0):
+                at = b + step
+                place = np.where(at >= a, classes[np.maximum(at, 0)], pad) + state * self.classes
+                state = flat_next[place].astype(np.int64)
+            shortest_first = (c - b)[::-1]
+            for step in range(int(shortest_first[-1])):
+                live = len(lane) - int(np.searchsorted(shortest_first, step, side="right"))
                 at = b[:live] + step
-                inside = at >= a[:live]
-                place = np.where(inside, classes[np.maximum(at, 0)], pad) + state[:live] * self.classes
-                if step >= 0:
-                    out[at] = flat_log[place]
+                place = classes[at] + state[:live] * self.classes
+                out[at] = flat_log[place]
                 state = flat_next[place].astype(np.int64)
         return out
 
@@ -279,14 +299,15 @@ def _continuations(texts: DataFrame, numbers, end: int) -> DataFrame:
     """(depth, context, word, n): how often head words (word -1: anything) follow contexts of frequent words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, sums = numbers.value, {1: _Sums(), 2: _Sums()}
+        known, sums = numbers.value, {1: _Sums(), 2: _Sums()}
+        of = _Memo(lambda w: known.get(word_hash(w), -1)).__getitem__
 
         def rows(depth: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch({"depth": np.full(len(code), depth, np.int32), "code": code, "n": n.astype(np.int64)})
 
         for batch in batches:
             for texts in _chunks(batch.column(0)):
-                parts = [[-1, -1, *[of.get(word_hash(w), -1) for w in lower_words(t)], end] for t in texts]
+                parts = [[-1, -1, *map(of, lower_words(t)), end] for t in texts]
                 ids = np.fromiter((x for p in parts for x in p), np.int64)
                 starts = np.cumsum([0, *[len(p) for p in parts[:-1]]])
                 real = np.ones(len(ids), bool)
@@ -339,13 +360,38 @@ def grow(windows: DataFrame, floor: float = FLOOR) -> Tree:
     return Tree(levels, floor)
 
 
+def _rare_gains(tail: DataFrame, limit: float, rare: float, mixed) -> DataFrame:
+    """(rid, gain): what the retained contexts of rare words add to the scores of tail's rows (rid, held_out, ctx, key, spelled, factor, c).
+
+    A context's continuations that occur twice or more have their own discounted probabilities, the other rare words share
+    what is left in proportion to their counts. Only rows whose context is retained pass the first join, a sort-merge join
+    whose skewed side adaptive execution splits; counts are partial aggregates. rare: occurrences of all rare words.
+    """
+    tail = tail.where(F.col("ctx").isNotNull() & (F.col("c") > 0) & (F.col("c") < limit))
+    pairs = materialize(tail.where("NOT held_out").groupBy("ctx", "key").agg(F.count("*").alias("m"), F.max("c").alias("c")), "rare")
+    own, part = F.col("m") >= 2, F.col("m") - DISCOUNT
+    sums = pairs.groupBy("ctx").agg(
+        F.sum("m").alias("all"),
+        F.sum(F.when(own, part)).alias("own"),
+        F.sum(F.when(own, F.col("c"))).alias("up"),
+        F.sum(F.when(own, part * F.log(part * rare / F.col("c")))).alias("spread"),
+    )
+    left, free = 1 - F.col("own") / F.col("all"), 1 - F.col("up") / F.lit(rare)
+    sums = sums.where(F.col("own").isNotNull() & (F.col("up") < rare))
+    divergence = (F.col("spread") - F.col("own") * F.log("all")) / F.col("all") + left * F.log(left / free)
+    contexts = sums.where(divergence >= DIVERGENCE).select("ctx", "all", (left / free).alias("rest"))
+    rows = tail.select("rid", "ctx", "key", "spelled", "factor", "c").join(contexts, "ctx").join(pairs.where(own).select("ctx", "key", "m"), ["ctx", "key"], "left")
+    new = F.when(F.col("m").isNotNull(), rare * part / F.col("all")).otherwise(F.col("rest") * F.col("c"))
+    return rows.select("rid", (mixed(new) - mixed(F.col("c"))).alias("gain"))
+
+
 def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training: a boolean column; rows where it is not true are held out. base_score is the add-half unigram score of
     the words and an end token; score is the suffix tree's log10 probability. Counts come from all training rows.
-    Words are compared by 64-bit hashes; the HEAD most frequent ones are looked up in place, all others by a join, so
-    every count is exact and no score depends on HEAD. A null text is empty and has the end token only. Equal rows stay rows of their own; null ids
+    Words and contexts of rare words are compared by 64-bit hashes; the HEAD most frequent words that aren't rare are
+    looked up in place, all others by a join, so every count is exact and no score depends on HEAD. Other columns are ignored. A null text is empty and has the end token only. Equal rows stay rows of their own; null ids
     are kept. With no training rows all counts are 0 and the distributions uniform. An empty table gives no rows.
     """
     require(docs, id_col, text_col)
@@ -359,7 +405,9 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     seen = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = (seen["n"] or 0) + n_docs, seen["v"] + bool(n_docs)
     whole = n + 0.5 * (v + 1)
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    limit = 2 + RARE * n
+    rare = float(words.where(F.col("n") < limit).agg(F.sum("n")).first()[0] or 0)
+    head = words.where(F.col("n") >= limit).orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     keys, counts = head.column("key").to_numpy().astype(np.int64), head.column("n").to_numpy().astype(np.float64)
     # The end token takes the last frequent number, or the one after all words where there are fewer.
     end_number = min(FREQUENT - 1, len(keys))
@@ -372,6 +420,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
         tree, word_tree, keys, counts, rank = held.value
         logs = np.log10((counts + 0.5) / whole)
         end = np.log10((n_docs + 0.5) / whole)
+        hash_of = _Memo(word_hash).__getitem__
         for full in batches:
             for j in range(0, full.num_rows, 1024):
                 b = full.slice(j, 1024)
@@ -383,7 +432,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                 last = np.zeros(ends[-1], bool)
                 last[ends - 1] = True
                 h = np.zeros(ends[-1], np.int64)
-                h[~last] = np.fromiter((word_hash(w) for ws in lists for w in ws), np.int64)
+                h[~last] = np.fromiter((x for ws in lists for x in map(hash_of, ws)), np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = (keys[at] == h) & ~last if len(keys) else np.zeros(len(h), bool)
                 doc = np.repeat(np.arange(len(lists)), tokens)
@@ -411,6 +460,10 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                 two = np.where((one < PAIRED) & (two < PAIRED), two, -1)
                 by_word = word_tree.prob(one, two, number)
                 rest = ~hit & ~last
+                place = np.flatnonzero(rest)
+                no_context = place - begin[doc[place]] < 2
+                pair = h.view(np.uint64)[np.stack([place - 2, place - 1])]
+                context = mix64(pair[0] * np.uint64(0x9E3779B97F4A7C15) + mix64(pair[1])).view(np.int64)
                 total = (1 - MIX) * 10.0**spelled + np.where(rest, 0.0, MIX * by_word)
                 # What underflows is spelled by a byte tree alone; words outside the head are scored by the join.
                 logs_of = np.where(total > 0, np.log10(np.maximum(total, 1e-300)), spelled + np.log10(1 - MIX))
@@ -424,19 +477,31 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                         "known": in_head,
                         "base": base,
                         "score": score,
-                        "rest": pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(x[rest]) for x in (h, spelled, by_word)], ["key", "spelled", "factor"])),
+                        "rest": pa.ListArray.from_arrays(
+                            cuts,
+                            pa.StructArray.from_arrays([pa.array(context, mask=no_context), *(pa.array(x[rest]) for x in (h, spelled, by_word))], ["ctx", "key", "spelled", "factor"]),
+                        ),
                     }
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<key:long,spelled:double,factor:double>>")
+    made = rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<ctx:long,key:long,spelled:double,factor:double>>")
     # The row number is stored, so it names the same row however often a task runs.
     made = materialize(made.withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = made.select("rid", F.inline("rest")).join(words.withColumnRenamed("n", "c"), "key", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    mixed = (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled")) + MIX * F.col("factor") * c / F.lit(float(max(1, n)))
-    mixed = F.when(mixed > 0, F.log10(F.greatest(mixed, F.lit(1e-300)))).otherwise(F.col("spelled") + float(np.log10(1 - MIX)))
-    tail = tail.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10((c + 0.5) / F.lit(whole))).alias("part"), F.sum(mixed).alias("mixed"))
+    tail = made.select("rid", "held_out", F.inline("rest")).join(words.withColumnRenamed("n", "c"), "key", "left")
+    tail = materialize(tail.select("rid", "held_out", "ctx", "key", "spelled", "factor", F.coalesce("c", F.lit(0)).alias("c")), "tail")
+
+    def mixed(count):
+        """log10 of a token's probability if the word tree gives it a share of count tokens of all."""
+        p = (1 - MIX) * F.pow(F.lit(10.0), F.col("spelled")) + MIX * F.col("factor") * count / F.lit(float(max(1, n)))
+        return F.when(p > 0, F.log10(F.greatest(p, F.lit(1e-300)))).otherwise(F.col("spelled") + float(np.log10(1 - MIX)))
+
+    c = F.col("c")
+    plain = tail.select("rid", (c > 0).cast("long").alias("more"), F.log10((c + 0.5) / F.lit(whole)).alias("part"), mixed(c).alias("mixed"))
+    if rare:
+        gains = _rare_gains(tail, limit, rare, mixed)
+        plain = plain.unionByName(gains.select("rid", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("part"), F.col("gain").alias("mixed")))
+    tail = plain.groupBy("rid").agg(F.sum("more").alias("more"), F.sum("part").alias("part"), F.sum("mixed").alias("mixed"))
     out = made.drop("rest").join(tail, "rid", "left")
     return out.select(
         "doc_id",

@@ -207,6 +207,33 @@ def test_suffix_tree_scores_do_not_depend_on_the_head(spark, monkeypatch):
     whole = score()
     monkeypatch.setattr(suffix_tree, "HEAD", suffix_tree.FREQUENT + 10)
     assert score() == whole
+    monkeypatch.setattr(suffix_tree, "RARE", -1.0)  # no word is rare
+    few = score()
+    monkeypatch.setattr(suffix_tree, "HEAD", 1 << 17)
+    assert score() == few
+
+
+def test_contexts_of_rare_words(spark):
+    rng = random.Random(4)
+    count = {w: rng.randrange(1, 30) for w in range(8)} | {8: 50, 9: 0}  # 8 is too frequent, 9 unseen
+    rows = [(i, rng.random() < 0.3, rng.choice([None, 1, 2, 3, 4]), rng.choice(range(10)), -5.0, 0.5) for i in range(60)]
+    rows += [(60 + i, i == 3, 77, 1, -5.0, 0.5) for i in range(4)] + [(70, False, 78, 2, -5.0, 0.5), (71, True, 78, 3, -5.0, 0.5)]
+    tail = spark.createDataFrame([(*r, count[r[3]]) for r in rows], "rid long, held_out boolean, ctx long, key long, spelled double, factor double, c long")
+    rare = float(sum(count[w] for w in range(8)))
+    made = {r["rid"]: r["gain"] for r in suffix_tree._rare_gains(tail, 40.0, rare, lambda n: F.log10(n)).collect()}
+    want, retained = {}, 0
+    for ctx in (1, 2, 3, 4, 77, 78):
+        seen = [k for _, h, x, k, *_ in rows if x == ctx and not h and k < 8]
+        own = {k: (seen.count(k) - suffix_tree.DISCOUNT) / len(seen) for k in set(seen) if seen.count(k) > 1}
+        left, free = 1 - sum(own.values()), 1 - sum(count[k] for k in own) / rare
+        if not own or sum(p * np.log(p * rare / count[k]) for k, p in own.items()) + left * np.log(left / free) < suffix_tree.DIVERGENCE:
+            continue
+        p = {k: own.get(k, left / free * count[k] / rare) for k in range(8)}
+        assert abs(sum(p.values()) - 1) < 1e-9
+        retained += 1
+        want |= {i: np.log10(p[k] * rare / count[k]) for i, _, x, k, *_ in rows if x == ctx and k < 8}
+    assert retained > 2 and 60 in want and 70 not in want
+    assert made.keys() == want.keys() and all(abs(made[i] - want[i]) < 1e-9 for i in want)
 
 
 def test_suffix_tree_is_a_distribution():
