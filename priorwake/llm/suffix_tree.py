@@ -18,7 +18,8 @@ are. Such a context is retained from two occurrences of one continuation on, if
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,27 +48,14 @@ def symbols(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b" ".join([*words, b"\xff"]), np.uint8)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - 2**63
-
-
-class _Memo(dict):
-    """A function's values by word; forgotten when they are many."""
-
-    def __init__(self, of, most: int = 150_000):
-        self.of, self.most = of, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = self.of(word)
-        return value
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 class _Sums:
     """Counts by int64 key that are given away when they are many."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 3_000_000):
         self.parts, self.size, self.most = [], 0, most
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,7 +94,7 @@ def _chunks(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None
 
 
 def _gather(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) partial counts: kind 0 words by hash, kind 1 windows of DEPTH + 1 bytes."""
+    """(kind, key, n) partial counts: kind 0 words by hash, kind 1 windows of DEPTH + 1 bytes. A task gives a key a few times at most, so they need no partial aggregate."""
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for j in range(0, len(keys), 200_000):
@@ -114,7 +102,7 @@ def _gather(texts: DataFrame) -> DataFrame:
             yield pa.record_batch({"kind": np.full(len(part), kind, np.int32), "key": part, "n": n[j : j + 200_000].astype(np.int64)})
 
     def spell(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromiter(map(word_hash, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+        return word_hashes(words), np.fromiter(words.values(), np.int64, len(words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, windows = Counter(), _Sums()
@@ -295,21 +283,29 @@ class WordTree:
         return p
 
 
-def _continuations(texts: DataFrame, numbers, end: int) -> DataFrame:
+def _continuations(texts: DataFrame, frequent, end: int) -> DataFrame:
     """(depth, context, word, n): how often head words (word -1: anything) follow contexts of frequent words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = numbers.value, {1: _Sums(), 2: _Sums()}
-        of = _Memo(lambda w: known.get(word_hash(w), -1)).__getitem__
+        keys, sums = frequent.value, {1: _Sums(), 2: _Sums()}
+        rank = np.argsort(keys)
+        keys = keys[rank]
 
         def rows(depth: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch({"depth": np.full(len(code), depth, np.int32), "code": code, "n": n.astype(np.int64)})
 
         for batch in batches:
             for texts in _chunks(batch.column(0)):
-                parts = [[-1, -1, *map(of, lower_words(t)), end] for t in texts]
-                ids = np.fromiter((x for p in parts for x in p), np.int64)
-                starts = np.cumsum([0, *[len(p) for p in parts[:-1]]])
+                lists = [lower_words(t) for t in texts]
+                sizes = np.array([len(w) for w in lists])
+                starts = np.cumsum(sizes + 3) - sizes - 3
+                h = word_hashes(chain.from_iterable(lists))
+                # Two empty places before the words of a text, the end after them.
+                ids = np.full(len(h) + 3 * len(lists), -1)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    ids[np.arange(len(h)) + np.repeat(3 * np.arange(len(lists)) + 2, sizes)] = np.where(keys[at] == h, rank[at], -1)
+                ids[starts + sizes + 2] = end
                 real = np.ones(len(ids), bool)
                 real[np.r_[starts, starts + 1]] = False
                 at = np.flatnonzero(real)
@@ -326,10 +322,10 @@ def _continuations(texts: DataFrame, numbers, end: int) -> DataFrame:
     return texts.mapInArrow(work, "depth int, code long, n long")
 
 
-def grow_words(texts: DataFrame, numbers: dict, head: np.ndarray, end: int, total: float) -> WordTree:
+def grow_words(texts: DataFrame, frequent: np.ndarray, head: np.ndarray, end: int, total: float) -> WordTree:
     """The word tree: contexts and continuations below the floors stay on the cluster, so at most 1 / NEXT_FLOOR rows a depth come to the driver."""
-    held = texts.sparkSession.sparkContext.broadcast(numbers)
-    rows = materialize(_continuations(texts, held, end).groupBy("depth", "code").agg(F.sum("n").alias("n")), "continuations")
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+    rows = materialize(_continuations(texts, held, end).repartition("depth", "code").groupBy("depth", "code").agg(F.sum("n").alias("n")), "continuations")
     context, word = F.shiftright("code", 13), F.col("code").bitwiseAND(F.lit((1 << 13) - 1))
     rows = rows.select("depth", context.alias("context"), word.alias("word"), "n")
     whole = rows.groupBy("depth", "context").agg(F.sum("n").alias("n")).select("depth", "context", F.lit(-1).alias("word"), "n")
@@ -397,7 +393,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(~training, F.lit(True)).alias("held_out"))
-    gathered = materialize(_gather(rows.where("NOT held_out").select("text")).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    gathered = materialize(_gather(rows.where("NOT held_out").select("text")).repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = gathered.where("kind = 0").select("key", "n")
     windows = gathered.where("kind = 1").select("key", "n")
     tree = grow(windows)
@@ -411,8 +407,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
     keys, counts = head.column("key").to_numpy().astype(np.int64), head.column("n").to_numpy().astype(np.float64)
     # The end token takes the last frequent number, or the one after all words where there are fewer.
     end_number = min(FREQUENT - 1, len(keys))
-    numbers = {int(k): i for i, k in enumerate(keys[:end_number])}
-    word_tree = grow_words(rows.where("NOT held_out").select("text"), numbers, np.insert(counts, end_number, n_docs), end_number, float(n))
+    word_tree = grow_words(rows.where("NOT held_out").select("text"), keys[:end_number], np.insert(counts, end_number, n_docs), end_number, float(n))
     order = np.argsort(keys)
     held = spark.sparkContext.broadcast((tree, word_tree, keys[order], counts[order], order))
 
@@ -420,7 +415,6 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
         tree, word_tree, keys, counts, rank = held.value
         logs = np.log10((counts + 0.5) / whole)
         end = np.log10((n_docs + 0.5) / whole)
-        hash_of = _Memo(word_hash).__getitem__
         for full in batches:
             for j in range(0, full.num_rows, 1024):
                 b = full.slice(j, 1024)
@@ -432,7 +426,7 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                 last = np.zeros(ends[-1], bool)
                 last[ends - 1] = True
                 h = np.zeros(ends[-1], np.int64)
-                h[~last] = np.fromiter((x for ws in lists for x in map(hash_of, ws)), np.int64)
+                h[~last] = word_hashes(chain.from_iterable(lists))
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = (keys[at] == h) & ~last if len(keys) else np.zeros(len(h), bool)
                 doc = np.repeat(np.arange(len(lists)), tokens)
