@@ -17,7 +17,6 @@ are. Such a context is retained from two occurrences of one continuation on, if
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, mix64, require
+from .common import discard, lower_words, materialize, mix64, require
 
 DEPTH = 6
 #: Least share of all positions that a retained context has, least divergence (nats) from its parent, and prior weight of the parent.
@@ -101,17 +100,14 @@ def _gather(texts: DataFrame) -> DataFrame:
             part = keys[j : j + 200_000]
             yield pa.record_batch({"kind": np.full(len(part), kind, np.int32), "key": part, "n": n[j : j + 200_000].astype(np.int64)})
 
-    def spell(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return word_hashes(words), np.fromiter(words.values(), np.int64, len(words))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = Counter(), _Sums()
+        words, windows = _Sums(), _Sums()
         for b in batches:
             for texts in _chunks(b.column(0)):
-                codes = []
-                for t in texts:
-                    w = lower_words(t)
-                    words.update(w)
+                codes, lists = [], [lower_words(t) for t in texts]
+                for full in words.add(word_hashes(chain.from_iterable(lists))):
+                    yield from rows(0, *full)
+                for w in lists:
                     s = np.r_[np.full(DEPTH, START, np.uint8), symbols(w)].astype(np.int64)
                     code = s[: len(s) - DEPTH].copy()
                     for k in range(1, DEPTH + 1):
@@ -120,10 +116,7 @@ def _gather(texts: DataFrame) -> DataFrame:
                     codes.append(code)
                 for full in windows.add(np.concatenate(codes)):
                     yield from rows(1, *full)
-                if len(words) > 300_000:
-                    yield from rows(0, *spell(words))
-                    words.clear()
-        yield from rows(0, *spell(words))
+        yield from rows(0, *words.take())
         yield from rows(1, *windows.take())
 
     return texts.mapInArrow(work, "kind int, key long, n long")
@@ -325,12 +318,13 @@ def _continuations(texts: DataFrame, frequent, end: int) -> DataFrame:
 def grow_words(texts: DataFrame, frequent: np.ndarray, head: np.ndarray, end: int, total: float) -> WordTree:
     """The word tree: contexts and continuations below the floors stay on the cluster, so at most 1 / NEXT_FLOOR rows a depth come to the driver."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
-    rows = materialize(_continuations(texts, held, end).repartition("depth", "code").groupBy("depth", "code").agg(F.sum("n").alias("n")), "continuations")
+    counted = materialize(_continuations(texts, held, end).repartition("depth", "code").groupBy("depth", "code").agg(F.sum("n").alias("n")), "continuations")
     context, word = F.shiftright("code", 13), F.col("code").bitwiseAND(F.lit((1 << 13) - 1))
-    rows = rows.select("depth", context.alias("context"), word.alias("word"), "n")
+    rows = counted.select("depth", context.alias("context"), word.alias("word"), "n")
     whole = rows.groupBy("depth", "context").agg(F.sum("n").alias("n")).select("depth", "context", F.lit(-1).alias("word"), "n")
     some = rows.where((F.col("word") < FREQUENT) & (F.col("n") >= max(2.0, NEXT_FLOOR * total))).unionByName(whole.where(F.col("n") >= CONTEXT_FLOOR * total))
     t = some.toArrow()
+    discard(counted)
     got = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "word", "n")], 1)
     return WordTree(head, *[got[got[:, 0] == d, 1:] for d in (1, 2)], total)
 
@@ -339,10 +333,14 @@ def grow(windows: DataFrame, floor: float = FLOOR) -> Tree:
     """The tree of windows (key, n): only contexts of at least the floor's share come to the driver, at most 1 / floor for each length."""
     total = windows.agg(F.sum("n")).first()[0] or 0
     levels = []
-    for d in range(DEPTH + 1):
-        mask = (1 << 8 * (d + 1)) - 1
-        rows = windows.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        rows = rows.groupBy(F.shiftrightunsigned("key", 8).alias("s")).agg(
+    # The counts of shorter windows come from those of one byte more.
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:
+            key = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
+            longer, windows = windows, materialize(windows.groupBy(key.alias("key")).agg(F.sum("n").alias("n")), "windows")
+            if d < DEPTH - 1:
+                discard(longer)
+        rows = windows.groupBy(F.shiftrightunsigned("key", 8).alias("s")).agg(
             F.sum("n").alias("all"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")).alias("next")
         )
         # A list holds at most 256 bytes' counts.
@@ -353,7 +351,8 @@ def grow(windows: DataFrame, floor: float = FLOOR) -> Tree:
         ends = t.column("b").combine_chunks().offsets.to_numpy()
         b, n = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("b", "n"))
         levels.append([(s, b[i:j], n[i:j]) for s, i, j in zip(t.column("s").to_pylist(), ends[:-1], ends[1:], strict=True)])
-    return Tree(levels, floor)
+    discard(windows)
+    return Tree(levels[::-1], floor)
 
 
 def _rare_gains(tail: DataFrame, limit: float, rare: float, mixed) -> DataFrame:
@@ -437,9 +436,8 @@ def score_texts(docs: DataFrame, training, *, id_col: str = "doc_id", text_col:
                 in_head = np.add.reduceat((hit | (last & (n_docs > 0))).astype(np.int64), np.r_[0, ends[:-1]])
                 # Model.
                 flat = np.frombuffer(b"".join(b" ".join([*w, b"\xff"]) for w in lists), np.uint8)
-                lengths = np.fromiter((len(x) + 1 for w in lists for x in (*w, b"")), np.int64)
-                stops = np.cumsum(lengths)
-                spelled = np.add.reduceat(tree.byte_logs(flat, stops[ends - 1]), stops - lengths)
+                stops = np.flatnonzero((flat == 0x20) | (flat == END)) + 1
+                spelled = np.add.reduceat(tree.byte_logs(flat, stops[ends - 1]), np.r_[0, stops[:-1]])
                 number = np.full(len(h), -1)
                 number[hit] = rank[at[hit]]
                 number = np.where(number >= end_number, number + 1, number)
