@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorwake.llm import jaccard, langid, mixing, pieces, secrets
-from priorwake.llm.common import materialize
+from priorwake.llm.common import materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the fused evidence settles; lang becomes that language."""
+    """Documents whose language the fused evidence settles; lang becomes that language.
+
+    Rejected are null and empty texts, texts of few letters, and those whose posterior stays low (langid.identify);
+    repeated rows are judged alike and all stay, other columns go, an empty table gives no rows.
+    """
+    small_batches(spark)
     model = langid.fit_text_model(docs)
     told = langid.identify_documents(docs, model)
     return told.where(~F.col("_rejected")).withColumn("lang", F.col("_lang")).select(*COLUMNS)
@@ -73,7 +78,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their best pieces, the scores of the n best paths and whether decoding gives the text back."""
+    """Documents with their best pieces, the scores of the n best paths and whether decoding gives the text back.
+
+    Every row gives a row, repeated ones alike; other columns go. A null or empty text has no pieces.
+    """
+    small_batches(spark)
     return pieces.digests(docs.select(*COLUMNS), pieces.Vocabulary.load()).select("doc_id", "lang", "source", "n_chars", "n_pieces", "score", "ids_sha256", "path_scores", "round_trip")
 
 

@@ -69,6 +69,15 @@ def materialize(df: DataFrame, tag: str, batch_bytes: str = BATCH_BYTES) -> Data
     return out
 
 
+def trim() -> None:
+    """Hand this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
 def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A worker's function that hands its freed memory back at its end: workers are used again, and idle ones would hold it."""
 
@@ -77,15 +86,16 @@ def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # other C libraries
-                pass
+            trim()
 
     return run
 
 
+def small_batches(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> None:
+    """From now on in this session, Python workers get batches of at most batch_bytes: for results that others write."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing lazy reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require, trimmed
+from .common import materialize, require, trim, trimmed
 
 BUCKETS = 1 << 14
 #: Trigrams overlap, so their evidence counts for a part.
 TEMPER = 0.25
 #: Most bytes that are scored at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Most bytes of a host table that is broadcast; a larger one is joined by its key.
 SMALL = 16 << 20
 
@@ -104,9 +104,10 @@ def fit_text_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str
             for b, offsets in _slices(batch.column(1)):
                 code, inside = _trigrams(b, offsets)
                 n = len(offsets) - 1
-                owner = np.repeat(langs[at : at + n], np.diff(offsets))
-                for lang in set(langs[at : at + n]):
-                    counts = np.bincount(code[inside & (owner == lang)], minlength=BUCKETS)
+                names, own = np.unique(langs[at : at + n], return_inverse=True)
+                owner = np.repeat(own.astype(np.int32), np.diff(offsets))
+                for k, lang in enumerate(names):
+                    counts = np.bincount(code[inside & (owner == k)], minlength=BUCKETS)
                     total[lang] = total.get(lang, 0) + counts
                 at += n
                 if len(total) > 256:
@@ -201,6 +202,7 @@ def identify(
     @F.arrow_udf("array<double>")
     def read(texts: pa.Array) -> pa.Array:
         made = held.value.likelihoods(texts)
+        trim()
         return pa.ListArray.from_arrays(np.arange(0, made.size + 1, made.shape[1] or 1, dtype=np.int32)[: len(made) + 1], made.ravel())
 
     @F.arrow_udf("array<double>")
