@@ -187,7 +187,7 @@ def identify(
     _lang is the language of the highest posterior, of equal ones the first of the model. A row is rejected, with _lang
     null, if its text is null or has no letters, if letters are less than `letters` of what is no white space, or if the
     posterior stays below `least`. Rows without a declaration, suffix or host simply lack that evidence; null hosts share
-    no prior. Repeated rows are evidence for each other. Texts are scored whole, the fusion is one pass over a row's sums, and
+    no prior. Repeated rows are evidence for each other. Texts are scored whole, the fusion is one pass over a row's sums without Python, and
     texts are not shuffled as long as the host table has at most SMALL bytes and is broadcast; a larger one is joined, with
     null hosts spread over all tasks. An empty table gives no rows.
     """
@@ -202,19 +202,15 @@ def identify(
     @F.arrow_udf("array<double>")
     def read(texts: pa.Array) -> pa.Array:
         made = held.value.likelihoods(texts)
+        made = np.concatenate((made, _posterior(made, n)), 1)
         trim()
-        return pa.ListArray.from_arrays(np.arange(0, made.size + 1, made.shape[1] or 1, dtype=np.int32)[: len(made) + 1], made.ravel())
-
-    @F.arrow_udf("array<double>")
-    def spread(read: pa.Array) -> pa.Array:
-        own = _posterior(_matrix(read, n + 2)[0], n)
-        return pa.ListArray.from_arrays(np.arange(0, own.size + 1, n, dtype=np.int32), own.ravel())
+        return pa.ListArray.from_arrays(np.arange(0, made.size + 1, made.shape[1], dtype=np.int32), made.ravel())
 
     facts = {"lid__dec": code_of(declared) if declared is not None else none, "lid__suf": suffix if suffix is not None else none, "lid__host": host if host is not None else none}
     facts["lid__dom"] = domain if domain is not None else facts["lid__host"]
     rows = rows.select(*kept, read(text).alias("lid__r"), *[v.alias(k) for k, v in facts.items()])
     keys = [k for k in facts]
-    seen = materialize(rows.select(*keys, spread("lid__r").alias("p"), F.col("lid__r")[n + 1].alias("m")).where("m > 0").drop("m"), "posteriors")
+    seen = materialize(rows.select(*keys, F.slice("lid__r", n + 3, n).alias("p"), F.col("lid__r")[n + 1].alias("m")).where("m > 0").drop("m"), "posteriors")
     everything = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     base = np.array([everything[f"s{i}"] for i in range(n)]) + 0.5
     base = base / base.sum()
@@ -241,34 +237,36 @@ def identify(
         out = out.withColumn("lid__key", key)
         out = out.join(hosts, (out["lid__key"] == hosts["lid__h2"]) & (out["lid__dom"] == hosts["lid__d2"]), "left")
 
-    @F.arrow_udf("struct<_lang:string,_confidence:double,_text_lang:string,_rejected:boolean>")
-    def fuse(read: pa.Array, hs: pa.Array, ds: pa.Array, dec: pa.Array, suf: pa.Array) -> pa.Array:
-        r = _matrix(read, n + 2)[0]
-        own, logs = _posterior(r, n), r[:, :n]
-        (h, known), (d, _), (c, declared), (e, ended) = (_matrix(x, n) for x in (hs, ds, dec, suf))
-        less = lambda sums, has: np.maximum(sums - own * has[:, None], 0.0)
-        smooth = lambda sums, up: (sums + strength * up) / (sums.sum(1, keepdims=True) + strength)
-        total = logs + np.log(smooth(less(h, known), smooth(less(d, known), base)))
-        for sums, has, whole, k in ((c, declared, dec_total, decs), (e, ended, suf_total, sufs)):
-            rest = np.maximum(whole - own * has[:, None], 0.0)
-            total += np.where(has[:, None], np.log((less(sums, has) + 0.5) / (rest + 0.5 * (k + 1))), 0.0)
-        post = np.exp(total - total.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
-        sure, names = post.max(1), np.array(model_names, object)
-        rejected = (r[:, n] < letters) | (r[:, n] <= 0) | (sure < least)
-        told, by_text = np.where(rejected, None, names[post.argmax(1)]), np.where(r[:, n + 1] > 0, names[logs.argmax(1)], None)
-        return pa.StructArray.from_arrays([pa.array(told, pa.string()), pa.array(np.round(sure, 6)), pa.array(by_text, pa.string()), pa.array(rejected)], ["_lang", "_confidence", "_text_lang", "_rejected"])
-
-    model_names = list(model.languages)
-    return out.select(*kept, fuse("lid__r", "lid__hs", "lid__ds", "lid__dec_sums", "lid__suf_sums").alias("lid__out")).select(*kept, "lid__out.*")
-
-
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of one length as rows, null as zeros; which rows are not null."""
-    ok = column.is_valid().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), width))
-    out[ok] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return out, ok
+    # The fusion runs in the JVM, on arrays with a place for each language: a task has one Python worker, for the texts.
+    both, total_of = F.zip_with, lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    vector = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    less = lambda sums: F.coalesce(both(sums, "lid__own", lambda v, o: F.greatest(v - o, F.lit(0.0))), vector([0.0] * n))
+    smooth = lambda sums, whole, up: both(sums, up, lambda v, u: (v + strength * u) / (F.col(whole) + strength))
+
+    def told(sums: str, whole: np.ndarray, k: int) -> Column:
+        rest = both(vector(whole), "lid__own", lambda t, o: F.greatest(t - o, F.lit(0.0)) + F.lit(0.5 * (k + 1)))
+        return F.when(F.col(sums).isNotNull(), both(less(sums), rest, lambda v, r: F.log((v + 0.5) / r))).otherwise(vector([0.0] * n))
+
+    plus = lambda x, y: both(x, y, lambda v, w: v + w)
+    r, names = F.col("lid__r"), F.array(*[F.lit(x) for x in model.languages])
+    out = out.select(*kept, F.slice(r, 1, n).alias("lid__logs"), F.slice(r, n + 3, n).alias("lid__own"), r[n].alias("lid__letters"), r[n + 1].alias("lid__seen"), "lid__hs", "lid__ds", "lid__dec_sums", "lid__suf_sums")
+    out = out.withColumns({"lid__h1": less("lid__hs"), "lid__d1": less("lid__ds")})
+    out = out.withColumns({"lid__hn": total_of("lid__h1"), "lid__dn": total_of("lid__d1")})
+    prior = smooth("lid__h1", "lid__hn", smooth("lid__d1", "lid__dn", vector(base)))
+    fused = both("lid__logs", prior, lambda v, p: v + F.log(p))
+    out = out.withColumn("lid__total", plus(plus(fused, told("lid__dec_sums", dec_total, decs)), told("lid__suf_sums", suf_total, sufs)))
+    out = out.withColumn("lid__most", F.array_max("lid__total"))
+    out = out.withColumn("lid__post", F.transform("lid__total", lambda v: F.exp(v - F.col("lid__most"))))
+    out = out.withColumn("lid__sure", F.lit(1.0) / total_of("lid__post"))
+    out = out.withColumn("lid__no", (F.col("lid__letters") < letters) | (F.col("lid__letters") <= 0) | (F.col("lid__sure") < least))
+    first = lambda values, v: F.element_at(names, F.array_position(values, v).cast("int"))
+    return out.select(
+        *kept,
+        F.when(~F.col("lid__no"), first("lid__post", F.lit(1.0))).alias("_lang"),
+        F.round("lid__sure", 6).alias("_confidence"),
+        F.when(F.col("lid__seen") > 0, first("lid__logs", F.array_max("lid__logs"))).alias("_text_lang"),
+        F.col("lid__no").alias("_rejected"),
+    )
 
 
 def _posterior(read: np.ndarray, n: int) -> np.ndarray:
