@@ -72,6 +72,7 @@ def mix(
     then misses its target by at most half that document. The rule of OP6_SQL is the one without. The order is a
     hash of the seed and the id cut into BINS bins: bin totals are partial sums, and only the one bin in which the rest
     runs out is ordered row by row, so no task ever sees a whole source.
+    Documents meet one row a source, a table that is broadcast while it is small; kept texts of the cut bins alone move.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own, the last. Documents with
     equal ids are separate rows and split a tie by size and text. Extra columns are left alone. An empty table gives
@@ -102,9 +103,14 @@ def mix(
         .withColumn("upto", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")))
         .withColumn("before", F.col("upto") - F.col("bin_size"))
     )
-    cuts = materialize(cuts.select("source", "bin", "source_size", "target", "whole", "rest", "upto", "before"), "cuts")
-    rows = base.join(cuts, base.source.eqNullSafe(cuts.source) & (base.bin == cuts.bin)).drop(cuts.source).drop(cuts.bin)
-    inside, cut = F.col("upto") <= F.col("rest"), (F.col("upto") > F.col("rest")) & (F.col("before") < F.col("rest"))
+    # One row a source: sizes are never negative, so its bins up to `full` lie inside the rest, and at most one is cut by it.
+    crossed = (F.col("upto") > F.col("rest")) & (F.col("before") < F.col("rest"))
+    cuts = cuts.groupBy("source", "source_size", "target", "whole", "rest").agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bin"))).alias("full"), F.max(F.when(crossed, F.col("bin"))).alias("cut"), F.max(F.when(crossed, F.col("before"))).alias("before")
+    )
+    cuts = materialize(cuts, "cuts")
+    rows = base.join(cuts, base.source.eqNullSafe(cuts.source)).drop(cuts.source)
+    inside, cut = F.coalesce(F.col("bin") <= F.col("full"), F.lit(False)), F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
     within = Window.partitionBy("source", "bin").orderBy("u", F.col("doc_id").asc_nulls_last(), "size", "content")
     plain = rows.where(~cut).withColumn("extra", F.when(inside & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0)))
     split = rows.where(cut).withColumn("run", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
