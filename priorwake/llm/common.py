@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import wraps
+from functools import partial, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,14 @@ def materialize(df: DataFrame, tag: str, batch_bytes: str = BATCH_BYTES) -> Data
     return out
 
 
-def trim() -> None:
-    """Hand this process's freed memory back to the system."""
+#: What a worker keeps over its tasks, until another function than its owner's runs in it.
+KEEP: dict = {}
+
+
+def trim(keep: bool = False) -> None:
+    """Hand this process's freed memory back to the system, and without keep what KEEP holds, too."""
+    if not keep:
+        KEEP.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -78,15 +84,22 @@ def trim() -> None:
         pass
 
 
-def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A worker's function that hands its freed memory back at its end: workers are used again, and idle ones would hold it."""
+def trimmed(work: Callable[[Iterator], Iterator] | None = None, *, keep: bool = False) -> Callable:
+    """A worker's function that hands its freed memory back at its end: workers are used again, and idle ones would hold it.
+
+    What others have left in KEEP goes before it begins, unless keep says that it is the owner.
+    """
+    if work is None:
+        return partial(trimmed, keep=keep)
 
     @wraps(work)
     def run(batches: Iterator) -> Iterator:
+        if KEEP and not keep:
+            trim()
         try:
             yield from work(batches)
         finally:
-            trim()
+            trim(keep)
 
     return run
 

@@ -58,8 +58,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     """(kind, doc_id, key, n, least): kind 0 are documents with their set's id, size and least hashes, kind 1 tokens and their counts in a task."""
 
     def counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        tokens, counts = _repeated(parts)
         for j in range(0, len(tokens), 100_000):
             t = tokens[j : j + 100_000]
             nothing = pa.nulls(len(t), pa.list_(pa.int64()))
@@ -74,14 +73,25 @@ def _profile(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"kind": np.zeros(len(sets), np.int32), "doc_id": b.column(0), "key": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "least": pa.array(least, pa.list_(pa.int64()))})
             parts += sets
             size += sum(map(len, sets))
+            del sets
             if size > COUNTED:
                 yield from counted(parts)
-                parts, size = [], 0
+                size = 0
         yield from counted(parts)
 
     return docs.mapInArrow(trimmed(work), "kind int, doc_id long, key long, n long, least array<long>")
 
 
+def _repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur more than once in all parts, and how often; parts is emptied, and sorted is in place: a task has many."""
+    values = np.concatenate([np.empty(0, np.int64), *parts])
+    parts.clear()
+    values.sort()
+    edges = np.diff((values[1:] == values[:-1]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+    return values[start], end - start + 1
+
+
 def _least_hashes(x: np.ndarray) -> list[int]:
     """Least hashes of a set under several orders."""
     with np.errstate(over="ignore"):
@@ -403,6 +413,7 @@ def with_set_id(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def read(texts: pa.Array) -> pa.Array:
         return pa.array([set_id(x) if len(x) else None for x in map(shingle_hashes, texts.to_pylist())], pa.int64())
 
+    read = read.asNondeterministic()  # filters on set_id stay above it, so a text is read once
     return docs.withColumn("set_id", read(F.col(text_col)))
 
 

@@ -206,6 +206,8 @@ def identify(
         trim()
         return pa.ListArray.from_arrays(np.arange(0, made.size + 1, made.shape[1], dtype=np.int32), made.ravel())
 
+    # Filters on its result stay above it; below, they would read each text once more, in a second worker of the task.
+    read = read.asNondeterministic()
     facts = {"lid__dec": code_of(declared) if declared is not None else none, "lid__suf": suffix if suffix is not None else none, "lid__host": host if host is not None else none}
     facts["lid__dom"] = domain if domain is not None else facts["lid__host"]
     rows = rows.select(*kept, read(text).alias("lid__r"), *[v.alias(k) for k, v in facts.items()])

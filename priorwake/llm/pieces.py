@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require, trimmed
+from .common import KEEP, materialize, require, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -517,16 +517,13 @@ class Segmenter:
         return [i for k, s in enumerate(segments) for i in (new[k] if k in new else self.v.best(s)[1])]
 
 
-_WORK: dict[tuple, Segmenter] = {}
-
-
 def _segmenter(held, n: int) -> Segmenter:
     """The worker's segmenter for a broadcast vocabulary; one at a time is kept."""
-    key = (held.value.key, n)
-    if key not in _WORK:
-        _WORK.clear()
-        _WORK[key] = Segmenter(held.value, n)
-    return _WORK[key]
+    key = ("pieces", held.value.key, n)
+    if key not in KEEP:
+        KEEP.clear()
+        KEEP[key] = Segmenter(held.value, n)
+    return KEEP[key]
 
 
 def _texts(batch: pa.Array) -> Iterator[list[str]]:
@@ -554,7 +551,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str =
     kind = "struct<ids:array<int>,score:double,paths:array<struct<score:double,changes:array<struct<place:int,ids:array<int>>>>>,round_trip:boolean>"
 
     @F.arrow_udf(kind)
-    @trimmed
+    @trimmed(keep=True)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = _segmenter(held, n)
         kinds = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("paths", pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))), ("round_trip", pa.bool_())])
@@ -578,7 +575,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text",
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("struct<n_pieces:bigint,score:double,ids_sha256:string,path_scores:string,round_trip:boolean>")
-    @trimmed
+    @trimmed(keep=True)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = _segmenter(held, n)
         kinds = pa.struct([("n_pieces", pa.int64()), ("score", pa.float64()), ("ids_sha256", pa.string()), ("path_scores", pa.string()), ("round_trip", pa.bool_())])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -364,6 +365,43 @@ def test_pipeline(spark, docs, tmp_path):
         assert stage(spark, docs.select(*corpus_pipeline.COLUMNS).limit(0), str(tmp_path)).count() == 0
 
 
+def test_a_task_of_the_pipeline_has_one_python_worker(spark, docs, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    plans, write = {}, langid.materialize
+
+    def seen(df, tag, *how):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag, *how)
+
+    monkeypatch.setattr(langid, "materialize", seen)
+    seen(corpus_pipeline.language(spark, docs.select(*corpus_pipeline.COLUMNS), str(tmp_path)), "language")
+    assert [plans[x].count("ArrowEvalPython [") for x in ("posteriors", "language")] == [1, 1]
+    marked = jaccard.with_set_id(docs).where("set_id > 0")
+    assert marked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+def test_workers_keep_nothing_for_other_stages(monkeypatch):
+    monkeypatch.setattr(common, "KEEP", {"pieces": 1})
+    assert list(common.trimmed(iter, keep=True)([5])) == [5] and common.KEEP
+    assert next(common.trimmed(lambda batches: iter([dict(common.KEEP)]))([])) == {} and not common.KEEP
+
+
+def test_repeated_tokens_are_counted_in_little_memory():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 3000):
+        parts = [rng.integers(-n - 1, n + 1, n // 2), rng.integers(-9, 9, n - n // 2)]
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        got = jaccard._repeated(parts)
+        assert not parts and [x.tolist() for x in got] == [tokens[counts > 1].tolist(), counts[counts > 1].tolist()]
+    parts = [rng.integers(-(2**62), 2**62, 1 << 16) for _ in range(32)]
+    tracemalloc.start()
+    jaccard._repeated(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * (8 << 21)  # beside the parts; a sorted copy with an index took 4 times them
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
     import corpus_pipeline
 
